@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space that separates words (fixed value): space, and tab to carriage return.
 WS = r"[\x20\x09-\x0D]+"
@@ -17,6 +18,9 @@ WS_CHARS = " \t\n\x0b\f\r"
 #: A list of 8-byte keys is broadcast up to this many rows (16 MB); beyond, the join shuffles.
 BROADCAST_KEYS = 2_000_000
 
+#: Rows in a batch for Python: with mean texts of a few KB, a few MB.
+BATCH_ROWS = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -69,3 +73,32 @@ def with_texts(docs: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataF
     if wanted.count() <= BROADCAST_KEYS:
         docs = docs.join(F.broadcast(wanted.select(key)), key, "left_semi")
     return docs.join(wanted.hint("shuffle_hash"), key)
+
+
+def with_arrays(df: DataFrame, make, fields: str) -> DataFrame:
+    """df with more columns, made from Arrow batches of its rows; columns of their names are replaced.
+
+    make() runs once a task and returns a function from a batch to a list of Arrow arrays, in the order of fields.
+    Batches are kept small, as texts can be long."""
+    import pyarrow as pa
+
+    spark = df.sparkSession
+    new = T.StructType.fromDDL(fields)
+    df = df.drop(*new.names)
+    schema = T.StructType(df.schema.fields + new.fields)
+    names = schema.names
+
+    def run(batches):
+        of = make()
+        for b in batches:
+            for at in range(0, b.num_rows, BATCH_ROWS):
+                part = b.slice(at, BATCH_ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns, *of(part)], names=names)
+
+    small_batches(spark)
+    return df.mapInArrow(run, schema)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches for Python hold few rows, as texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

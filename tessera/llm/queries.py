@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding
+from . import mixing, pieces, quality, secrets, sharding
 from .common import table
 
+#: The tokenizer's model file; it is read by the driver alone.
+PIECES = os.environ.get("TESSERA_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 
 
@@ -27,5 +30,18 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents", "doc_id", "n_chars"), "doc_id", SHARDS)
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text", "clean_text")
+
+
+def model_bytes(path: str = PIECES) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents", "doc_id", "text"), model_bytes()).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mix": op2_mix, "op3_quality": op3_quality, "op5_sharding": op5_sharding}
+    return {"op2_mix": op2_mix, "op3_quality": op3_quality, "op5_sharding": op5_sharding, "op9_secrets": op9_secrets, "op10_pieces": op10_pieces}

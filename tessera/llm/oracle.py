@@ -33,5 +33,19 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM
 """
 
 
+#: All that the contract fixes of op3; the method's own verdict is tested against a plain version in Python.
+OP3_BASE = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, s FROM win GROUP BY doc_id, s HAVING count(*) > 1),
+cov AS (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS p FROM win JOIN twice USING (doc_id, s)),
+rep AS (SELECT doc_id, count(*) AS n FROM cov GROUP BY doc_id),
+b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM t LEFT JOIN rep USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op2_mix": OP2, "op7_neardup": OP7}

@@ -5,11 +5,12 @@ Only DataFrame functions are used. Everything about a text is found within its o
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let, words
+from .common import WORD, WS, let, words
 
 #: Document rules (fixed values of the contract).
 MIN_WORDS, WINDOW, MAX_REPEATED_PERCENT = 20, 8, 30
@@ -17,10 +18,10 @@ SYMBOLS = r"[^#*$%&|<>]+"
 
 #: Phrases that mark a line as boilerplate, in lower case.
 BOILERPLATE = (
-    "all rights reserved", "licensed under", "is licensed under", "released under the", "terms of use", "terms of service",
-    "privacy policy", "cookie policy", "use of cookies", "uses cookies", "accept cookies", "enable javascript", "lorem ipsum",
-    "click here", "sign up for our", "subscribe to our", "powered by",
+    "all rights reserved", "licensed under", "released under", "terms of use", "privacy policy", "cookies", "javascript", "lorem ipsum",
+    "click here", "subscribe to our", "powered by",
 )
+SEPARATORS = "|»•·"
 
 
 @dataclass(frozen=True)
@@ -31,7 +32,7 @@ class Rules:
     min_open_words: int = 3  # a line with no end mark and fewer words fails, if it isn't the only one
     #: Navigation: separators a word, from two separators on.
     max_separators: float = 0.2
-    #: Words that equal the word before them, as a share, in lines of ten words or more.
+    #: Words that equal the word before them, as a share, in lines of ten words or more of texts with a word three times in a row.
     max_stutter: float = 0.3
     #: A document goes that keeps less than this share of its word characters.
     min_kept: float = 0.6
@@ -42,86 +43,103 @@ def _count(text: Column, other: str) -> Column:
     return F.char_length(F.regexp_replace(text, other, ""))
 
 
-def _repeated_words(ws: Column) -> Column:
-    """Words in WINDOW-word windows that are found twice or more in the text, by 64-bit window hashes."""
+def _repeated_words(w: Column) -> Column:
+    """Words in WINDOW-word windows that are found twice or more in the text, by 64-bit window hashes.
+
+    Window hashes are folded from pairs of halves: 1, 2, 4, 8 words. Only texts in which a hash of four words
+    comes twice go on to eight, and only those with a window twice are looked at place by place."""
 
     def covered(flagged: Column) -> Column:  # starts of such windows, ascending: each covers up to the next one
         steps = F.transform(flagged, lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(flagged, k + 1) - p, F.lit(WINDOW))))
         return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
     def starts(s: Column) -> Column:
-        same = lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"])
-        return F.sort_array(F.transform(F.filter(s, lambda x, k: F.coalesce(same(x, k), F.lit(False)) | F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))), lambda x: x["i"]))
+        near = lambda x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(s, lambda x, k: near(x, k - 1) | near(x, k + 1)), lambda x: x["i"]))
 
-    def repeated(h: Column) -> Column:
+    def places(h: Column) -> Column:
         several = let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), lambda s: let(starts(s), covered))
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(several)
 
-    def of(w: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
-        return F.when(F.size(w) < WINDOW, F.lit(0)).otherwise(let(hashes, repeated))
+    def paired(h: Column, k: int) -> Column:
+        return F.zip_with(F.slice(h, F.lit(1), F.size(h) - k), F.slice(h, F.lit(k + 1), F.size(h)), lambda a, b: F.xxhash64(a, b))
+
+    def eight(h4: Column) -> Column:
+        return F.when(F.size(F.array_distinct(h4)) == F.size(h4), F.lit(0)).otherwise(let(paired(h4, 4), places))
+
+    hashes = F.transform(w, lambda x: F.xxhash64(x))
+    return F.when(F.size(w) <= WINDOW, F.lit(0)).otherwise(let(hashes, lambda h: let(paired(h, 1), lambda h2: let(paired(h2, 2), eight))))
 
-    return let(ws, of)
 
+def _gates(text: Column) -> Column:
+    """Which rules can fail at all in a text: cheap tests that spare most lines the costly ones."""
+    low = F.lower(text)
+    some = lambda t, xs: reduce(lambda a, b: a | b, [F.contains(t, F.lit(x)) for x in xs])
+    ws, word = WS[:-1], WORD[:-1]
+    return let(_count(text, SYMBOLS), lambda n: F.struct(
+        n.alias("n_symbols"), (n > 0).alias("symbols"), F.contains(text, F.lit("!!")).alias("shouts"), ((n > 0) | some(text, SEPARATORS[1:])).alias("separators"),
+        some(low, BOILERPLATE).alias("boilerplate"), text.rlike(f"(?:^|{ws})({word}++){ws}++\\1{ws}++\\1(?!{word})").alias("stutter"),
+    ))
 
-def _fails(line: Column, w: Column, alone: Column, r: Rules) -> Column:
-    """Whether a line with the words w breaks a rule."""
-    n = F.size(w)
-    low = F.lower(line)
-    stutter = F.size(F.filter(w, lambda x, k: F.coalesce(F.get(w, k - 1) == x, F.lit(False))))
+
+def _fails(line: Column, n: Column, alone: Column, gate: Column, r: Rules) -> Column:
+    """Whether a line of n words breaks a rule."""
+    ws, word = WS[:-1], WORD[:-1]
+    stutter = F.regexp_count(line, F.lit(f"(?<!{word})({word}++){ws}++(?=\\1(?!{word}))"))
     return (
-        (_count(line, r"[^#*$%&<>]+") > n * r.max_symbols)
-        | (_count(line, "[^!]+") > F.greatest(F.lit(1.0), n * r.max_shouts))
+        (gate["symbols"] & (_count(line, r"[^#*$%&<>]+") > n * r.max_symbols))
+        | (gate["shouts"] & (_count(line, "[^!]+") > F.greatest(F.lit(1.0), n * r.max_shouts)))
         | (~alone & (n < r.min_open_words) & ~line.rlike(r"[.!?:;,…。！？\"'”’)\]][\x20\x09-\x0D]*$"))
-        | let(_count(line, r"[^|»›•·]+"), lambda k: (k >= 2) & (k >= n * r.max_separators))
-        | ((n >= 10) & (stutter >= n * r.max_stutter))
-        | low.rlike("|".join(BOILERPLATE))
+        | (gate["separators"] & let(_count(line, f"[^{SEPARATORS}]+"), lambda k: (k >= 2) & (k >= n * r.max_separators)))
+        | (gate["stutter"] & (n >= 10) & (stutter >= n * r.max_stutter))
+        | (gate["boilerplate"] & F.lower(line).rlike("|".join(BOILERPLATE)))
     )
 
 
+OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lines_dropped", "kept_chars", "clean_text", "kept")
+
+
 def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """docs with the columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lines_dropped,
     kept_chars, clean_text and kept.
 
     Lines are judged first: one goes that breaks a rule of punctuation, navigation or boilerplate or equals an
-    earlier line with words. Lines without words stay. Then a document is rejected (kept is false) if it fails the
+    earlier line with words; lines without words go too. Then a document is rejected (kept is false) if it fails the
     base rules or keeps less than rules.min_kept of its word characters. A null text counts as empty, has no words
     and is rejected, with a null clean_text. Each row is judged alone, whatever its other columns hold; columns of these
     names are replaced. Long texts cost memory in proportion to one text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), words(x).alias("w")))
-    own = [c for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lines_dropped", "kept_chars", "clean_text", "kept", "_r")]
-
-    def judged(ls: Column) -> Column:
-        full = F.filter(ls, lambda x: F.size(x["w"]) > 0)
-        first = F.array_distinct(F.transform(full, lambda x: x["line"]))
-        alone = F.size(full) == 1
-
-        def result(parts: Column) -> Column:
-            full, first, w, alone = parts["full"], parts["first"], parts["words"], parts["alone"]
-            good = F.filter(first, lambda x: let(words(x), lambda w: ~_fails(x, w, alone, rules)))
-            return let(
-                F.struct(full.alias("full"), first.alias("first"), w.alias("words"), good.alias("good")),
-                lambda p: F.struct(
-                    F.size(p["words"]).cast("long").alias("n_words"),
-                    F.char_length(F.array_join(p["words"], "")).cast("long").alias("word_chars"),
-                    (F.size(p["full"]) - F.size(p["first"])).cast("long").alias("n_dup_lines"),
-                    _repeated_words(p["words"]).cast("long").alias("n_repeat_words"),
-                    (F.size(p["full"]) - F.size(p["good"])).cast("long").alias("lines_dropped"),
-                    F.char_length(F.regexp_replace(F.array_join(p["good"], ""), "[\\x20\\x09-\\x0D]+", "")).cast("long").alias("kept_chars"),
-                    p["good"].alias("good"),
-                ),
-            )
-
-        return let(F.struct(full.alias("full"), first.alias("first"), F.flatten(F.transform(full, lambda x: x["w"])).alias("words"), alone.alias("alone")), result)
-
-    df = docs.select(*own, let(lines, judged).alias("_r"))
+    own = [c for c in docs.columns if c not in (*OUT, "_r")]
+    chars = lambda w: F.aggregate(w, F.lit(0), lambda a, x: a + F.char_length(x))
+    total = lambda rows, c: F.aggregate(rows, F.lit(0), lambda a, x: a + x[c])
+    single = ~text.rlike("[\\x09\\x0B-\\x0D]|\\x20\\x20")  # single spaces alone separate words: a split without a pattern does
+    spaced = lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    parsed = lambda x, one: let(F.when(one, let(F.btrim(x), spaced)).otherwise(words(x)), lambda w: F.struct(x.alias("line"), w.alias("w"), chars(w).alias("chars")))
+
+    def judged(full: Column, gate: Column) -> Column:
+        lines = F.array_distinct(F.transform(full, lambda x: x["line"]))
+
+        def result(first: Column) -> Column:
+            alone = F.size(full) == 1
+            good = F.filter(first, lambda x: ~_fails(x["line"], F.size(x["w"]), alone, gate, rules))
+            every = F.flatten(F.transform(full, lambda x: x["w"]))
+            return let(good, lambda g: F.struct(
+                total(F.transform(full, lambda x: F.struct(F.size(x["w"]).alias("n"))), "n").cast("long").alias("n_words"), total(full, "chars").cast("long").alias("word_chars"), (F.size(full) - F.size(first)).cast("long").alias("n_dup_lines"),
+                let(every, _repeated_words).cast("long").alias("n_repeat_words"), (F.size(full) - F.size(g)).cast("long").alias("lines_dropped"), total(g, "chars").cast("long").alias("kept_chars"),
+                F.transform(g, lambda x: x["line"]).alias("good"), gate["n_symbols"].alias("n_symbols"),
+            ))
+
+        return let(lines, lambda ls: let(F.when(F.size(ls) == F.size(full), full).otherwise(F.transform(ls, lambda x: parsed(x, F.lit(False)))), result))
+
+    lines = let(single, lambda one: F.filter(F.transform(F.split(text, "\n"), lambda x: parsed(x, one)), lambda x: F.size(x["w"]) > 0))
+    found = let(F.struct(lines.alias("full"), _gates(text).alias("gate")), lambda p: judged(p["full"], p["gate"]))
+    df = docs.select(*own, found.alias("_r"))
     r = F.col("_r")
     n, repeat = r["n_words"], r["n_repeat_words"]
     base = (n < MIN_WORDS) | (repeat * 100 > n * MAX_REPEATED_PERCENT)
     kept = ~base & (r["kept_chars"] >= r["word_chars"] * rules.min_kept)
     return df.select(
-        *own, n.alias("n_words"), r["word_chars"].alias("word_chars"), F.coalesce(_count(F.col("text"), SYMBOLS), F.lit(0)).cast("long").alias("n_symbols"), r["n_dup_lines"].alias("n_dup_lines"), repeat.alias("n_repeat_words"),
+        *own, n.alias("n_words"), r["word_chars"].alias("word_chars"), r["n_symbols"].cast("long").alias("n_symbols"), r["n_dup_lines"].alias("n_dup_lines"), repeat.alias("n_repeat_words"),
         base.alias("base_failed"), r["lines_dropped"].alias("lines_dropped"), r["kept_chars"].alias("kept_chars"),
         F.when(F.col("text").isNotNull(), F.array_join(r["good"], "\n")).alias("clean_text"), kept.alias("kept"),
     )

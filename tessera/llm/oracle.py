@@ -33,6 +33,18 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM
 """
 
 
+OP6 = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM t WHERE len(w) >= 50)),
+first AS (SELECT h, min(doc_id) AS first FROM win GROUP BY h HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN first USING (h) WHERE first < doc_id),
+lost AS (SELECT doc_id, count(*) AS n, list(p) AS ps FROM gone GROUP BY doc_id),
+each AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM t),
+kept AS (SELECT each.doc_id, sha256(string_agg(x, ' ' ORDER BY p)) AS s FROM each ANTI JOIN gone ON each.doc_id = gone.doc_id AND each.p = gone.p GROUP BY each.doc_id)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed, coalesce(kept.s, sha256('')) AS kept_sha256
+FROM t LEFT JOIN lost ON t.doc_id = lost.doc_id LEFT JOIN kept ON t.doc_id = kept.doc_id
+"""
+
 #: All that the contract fixes of op3; the method's own verdict is tested against a plain version in Python.
 OP3_BASE = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -48,4 +60,4 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FRO
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": OP2, "op7_neardup": OP7}
+    return {"op2_mix": OP2, "op6_substring": OP6, "op7_neardup": OP7}

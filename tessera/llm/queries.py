@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, pieces, quality, secrets, sharding
+from . import mixing, neardup, pieces, quality, secrets, sharding, substring
 from .common import table
 
 #: The tokenizer's model file; it is read by the driver alone.
@@ -30,6 +30,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents", "doc_id", "n_chars"), "doc_id", SHARDS)
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -48,4 +52,4 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mix": op2_mix, "op3_quality": op3_quality, "op5_sharding": op5_sharding, "op7_neardup": op7_neardup, "op9_secrets": op9_secrets, "op10_pieces": op10_pieces}
+    return {"op2_mix": op2_mix, "op3_quality": op3_quality, "op5_sharding": op5_sharding, "op6_substring": op6_substring, "op7_neardup": op7_neardup, "op9_secrets": op9_secrets, "op10_pieces": op10_pieces}

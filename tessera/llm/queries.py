@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, pieces, quality, secrets, sharding, substring
+from . import mixing, neardup, pieces, quality, secrets, sharding, substring, toxicity
 from .common import table
 
 #: The tokenizer's model file; it is read by the driver alone.
@@ -38,6 +38,12 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text", "clean_text")
 
@@ -52,4 +58,4 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mix": op2_mix, "op3_quality": op3_quality, "op5_sharding": op5_sharding, "op6_substring": op6_substring, "op7_neardup": op7_neardup, "op9_secrets": op9_secrets, "op10_pieces": op10_pieces}
+    return {"op2_mix": op2_mix, "op3_quality": op3_quality, "op5_sharding": op5_sharding, "op6_substring": op6_substring, "op7_neardup": op7_neardup, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_pieces": op10_pieces}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, pieces, quality, secrets, sharding, substring, toxicity
+from . import ann, mixing, neardup, pieces, quality, secrets, sharding, substring, toxicity
 from .common import table
 
 #: The tokenizer's model file; it is read by the driver alone.
@@ -16,6 +16,10 @@ PIECES = os.environ.get("TESSERA_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix(table(spark, sf_dir, "documents"))
     return m.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -58,4 +62,4 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mix": op2_mix, "op3_quality": op3_quality, "op5_sharding": op5_sharding, "op6_substring": op6_substring, "op7_neardup": op7_neardup, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_pieces": op10_pieces}
+    return {"op1_neighbours": op1_neighbours, "op2_mix": op2_mix, "op3_quality": op3_quality, "op5_sharding": op5_sharding, "op6_substring": op6_substring, "op7_neardup": op7_neardup, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_pieces": op10_pieces}

@@ -33,6 +33,15 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM
 """
 
 
+#: The tables hold turns alone, no tool calls; each user's turn is a call to the assistant.
+OP4 = r"""
+WITH u AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id, turn),
+a AS (SELECT conv_id, turn - 1 AS turn, min(text) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn)
+SELECT u.conv_id, CAST(u.turn AS VARCHAR) AS call_id, u.turn, 0 AS item, 0 AS level, 'respond' AS name, a.turn IS NOT NULL AS is_linked, false AS is_repeat, CAST(NULL AS VARCHAR) AS problem,
+  '{"arguments":{' || CASE WHEN u.turn >= 2 THEN '"after":{"$ref":"' || CAST(u.turn - 2 AS VARCHAR) || '"},' ELSE '' END || '"prompt":' || CAST(to_json(u.text) AS VARCHAR) || '},"id":"' || CAST(u.turn AS VARCHAR) || '","name":"respond","result":' || coalesce(CAST(to_json(a.text) AS VARCHAR), 'null') || '}' AS record
+FROM u LEFT JOIN a ON u.conv_id = a.conv_id AND u.turn = a.turn
+"""
+
 OP6 = r"""
 WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM t WHERE len(w) >= 50)),
@@ -60,4 +69,4 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FRO
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": OP2, "op6_substring": OP6, "op7_neardup": OP7}
+    return {"op2_mix": OP2, "op4_chat": OP4, "op6_substring": OP6, "op7_neardup": OP7}

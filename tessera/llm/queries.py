@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, mixing, neardup, pieces, quality, secrets, sharding, substring, toxicity
+from . import ann, chat, mixing, neardup, pieces, quality, secrets, sharding, substring, toxicity
 from .common import table
 
 #: The tokenizer's model file; it is read by the driver alone.
@@ -30,6 +30,16 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lines_dropped", "kept_chars")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls in the texts, if any, and the turns themselves as calls."""
+    messages = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    own, turns = chat.parsed(messages), chat.exchanges(messages)
+    cols = ("conv_id", "call_id", "turn", "item")
+    calls = own[0].select(*cols, "name", "arguments").union(turns[0].select(*cols, "name", "arguments"))
+    results = own[1].select(*cols, "content").union(turns[1].select(*cols, "content"))
+    return chat.linked(calls, results, chat.RESPOND)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents", "doc_id", "n_chars"), "doc_id", SHARDS)
 
@@ -62,4 +72,4 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_neighbours": op1_neighbours, "op2_mix": op2_mix, "op3_quality": op3_quality, "op5_sharding": op5_sharding, "op6_substring": op6_substring, "op7_neardup": op7_neardup, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_pieces": op10_pieces}
+    return {"op1_neighbours": op1_neighbours, "op2_mix": op2_mix, "op3_quality": op3_quality, "op4_chat": op4_chat, "op5_sharding": op5_sharding, "op6_substring": op6_substring, "op7_neardup": op7_neardup, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_pieces": op10_pieces}

@@ -13,17 +13,23 @@ from .common import checkpoint, small_batches, stored, with_arrays, with_texts
 from .components import components
 
 WORDS, PERCENT = 5, 75
-#: Coordinates of a signature, and how many two documents must share to be compared in full. At the lowest similarity that
-#: counts, 0.75, a pair shares fewer with probability 1e-5; the rate falls fast above it.
-COORDINATES, MATCHES = 32, 13
+#: Coordinates that are posted, and how many two documents must share to meet. At the lowest similarity that counts, 0.75, a
+#: pair shares fewer with probability 1.5e-5, at 0.8 with 1e-7.
+COORDINATES, MATCHES = 64, 33
+#: Two filters before a comparison in full. A sketch has four bits of each coordinate; at 0.75 fewer than AGREE agree with
+#: probability 1e-5. Parities tell for each of PARITIES bins whether an odd number of a set's shingles falls there: two sets differ
+#: in at least as many shingles as they have unequal parities, so that filter loses nothing, and is sharp for sets up to that size.
+AGREE, PARITIES = 34, 1024
+SKETCH = [f"s{i}" for i in range(COORDINATES // 16)]
+ODD = [f"o{i}" for i in range(PARITIES // 64)]
 #: Rounds in which each posting list is compared with one member, before the lists are compared pair by pair.
-ROUNDS = 2
+ROUNDS = 3
 #: Longer posting lists are cut into blocks, so that no task holds more than a pair of blocks.
 BLOCK = 512
 
 _rng = np.random.default_rng(7)
 _MASK = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64)
-_ODD = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTIPLIER = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(column):
@@ -41,33 +47,40 @@ def shingle_sets(column):
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """docs with n_shingles, d1 and d2 (a digest of the set) and signature: one token for each coordinate and its value."""
+    """docs with n_shingles, d1 and d2 (a digest of the set) signature (a token for each posted coordinate and its value) and sketch (four bits of every coordinate, then the parities)."""
     import pyarrow as pa
 
     def make():
         def of(b):
-            out = [[], [], [], []]
+            out = [[], [], [], [], []]
             for _, starts, u in shingle_sets(b.column("text")):
                 n = np.diff(starts)
                 full = np.flatnonzero(n)
                 at = starts[:-1][full]
                 d = np.zeros((2, len(n)), np.uint64)
-                tokens = np.zeros((len(n), COORDINATES), np.uint64)
+                tokens, sketch = np.zeros((len(n), COORDINATES), np.uint64), np.zeros((len(n), len(SKETCH + ODD)), np.uint64)
                 if len(full):
                     for i in (0, 1):
                         d[i, full] = np.add.reduceat(K.mix(u ^ _MASK[i]), at)
+                    tmp = np.empty_like(u)
                     for i in range(COORDINATES):
-                        low = np.minimum.reduceat((u ^ _MASK[i]) * _ODD[i], at)
-                        tokens[full, i] = K.mix(low + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64))
-                for x, y in zip(out, (n, K.signed(d[0]), K.signed(d[1]), K.signed(tokens.reshape(-1))), strict=True):
+                        np.bitwise_xor(u, _MASK[i], out=tmp)
+                        np.multiply(tmp, _MULTIPLIER[i], out=tmp)
+                        token = K.mix(np.minimum.reduceat(tmp, at) + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64))
+                        tokens[full, i] = token
+                        sketch[full, i // 16] |= (token >> np.uint64(60)) << np.uint64(i % 16 * 4)
+                    bins = (u >> np.uint64(54)).astype(np.int64) + np.repeat(np.arange(len(n)), n) * PARITIES
+                    odd = np.bincount(bins, minlength=len(n) * PARITIES).astype(np.uint8) & 1
+                    sketch[:, len(SKETCH) :] = np.packbits(odd, bitorder="little").view(np.uint64).reshape(len(n), -1)
+                for x, y in zip(out, (n, K.signed(d[0]), K.signed(d[1]), K.signed(tokens.reshape(-1)), K.signed(sketch.reshape(-1))), strict=True):
                     x.append(y)
-            n, d1, d2, tokens = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * COORDINATES), pa.array(tokens))
-            return [pa.array(n), pa.array(d1), pa.array(d2), lists]
+            n, d1, d2, tokens, sketch = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+            fixed = lambda x, k: pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * k), pa.array(x))
+            return [pa.array(n), pa.array(d1), pa.array(d2), fixed(tokens, COORDINATES), fixed(sketch, len(SKETCH + ODD))]
 
         return of
 
-    return with_arrays(docs, make, "n_shingles long, d1 long, d2 long, signature array<long>")
+    return with_arrays(docs, make, "n_shingles long, d1 long, d2 long, signature array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -85,33 +98,45 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
 
 def postings(reps: DataFrame) -> DataFrame:
-    """(node, n, tokens, prefix) of the nodes that can share MATCHES coordinates with another.
+    """(node, common, prefix) of the nodes that can share MATCHES posted coordinates with another.
 
     Tokens are ordered by how many nodes post them, rarest first, the same order for all. Two nodes that share MATCHES of
     COORDINATES tokens share one among the first COORDINATES - MATCHES + 1 of either. Tokens of one node come first and link
-    nothing: a node with enough of those posts nothing, and is skipped from here on."""
+    nothing: a node with enough of those posts nothing, and is skipped from here on. common sums how often a node's tokens are posted."""
     tokens = reps.select("node", F.explode("signature").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("often")).filter("often > 1")
-    own = tokens.join(often, "token").groupBy("node").agg(F.sort_array(F.collect_set(F.struct("often", "token"))).alias("x"))
+    own = tokens.join(often, "token").groupBy("node").agg(F.sort_array(F.collect_set(F.struct("often", "token"))).alias("x"), F.sum("often").alias("common"))
     keep = F.size("x") - (MATCHES - 1)
-    own = own.filter(keep > 0).select("node", F.transform("x", lambda x: x["token"]).alias("tokens"), F.transform(F.slice("x", F.lit(1), keep), lambda x: x["token"]).alias("prefix"))
-    return own.join(reps.groupBy("node").agg(F.min("n").alias("n")), "node")
+    return own.filter(keep > 0).select("node", "common", F.transform(F.slice("x", F.lit(1), keep), lambda x: x["token"]).alias("prefix"))
 
 
-def _alike(n: Column, m: Column) -> Column:
+def _alike(n: str, m: str) -> Column:
     """Sizes that allow the similarity."""
     return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
 
 
-def _side(p: DataFrame, s: str) -> DataFrame:
-    return p.select(*[F.col(c).alias(c if c in ("token", "block") else f"{c}_{s}") for c in p.columns])
+def _agree(a: str, b: str) -> Column:
+    """Whether the parities and sketches of two sets allow the similarity; columns have the suffixes a and b."""
+    unequal = lambda s: F.col(f"{s}{a}").bitwiseXOR(F.col(f"{s}{b}"))
+    total = lambda xs: reduce(lambda x, y: x + y, xs)
+
+    def differ(x: Column) -> Column:
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    apart = total([F.bit_count(unequal(s)) for s in ODD])
+    most = (F.col(f"n{a}") + F.col(f"n{b}")) * (100 - PERCENT) / (100 + PERCENT)
+    return (apart <= most) & (total([differ(unequal(s)) for s in SKETCH]) <= COORDINATES - AGREE)
+
+
+def _side(p: DataFrame, s: str, but: tuple = ()) -> DataFrame:
+    return p.select(*[F.col(c).alias(c if c in but else f"{c}{s}") for c in p.columns])
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    pairs = checkpoint(pairs)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(full_sets(with_texts(docs.select("doc_id", "text"), nodes).select("doc_id", "text")))
+    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = stored(full_sets(with_texts(docs.select("doc_id", "text"), checkpoint(nodes)).select("doc_id", "text")))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     both = both.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("k"))
     return checkpoint(both.filter(f"100 * k >= {PERCENT} * (n + m - k)").select("a", "b").distinct())
@@ -120,39 +145,37 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) between nodes that leave the same components as all links would."""
     p = stored(postings(reps))
+    facts = reps.join(p.select("node"), "node", "left_semi").groupBy("node").agg(F.min("n").alias("n"), *[F.min(F.get("sketch", F.lit(i))).alias(s) for i, s in enumerate(SKETCH + ODD)])
+    facts = stored(facts)
     spark = p.sparkSession
     found, label = [], spark.createDataFrame([], "node long, component long")
     with_label = lambda df: df.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    close = lambda x, y: F.size(F.array_intersect(x, y)) >= MATCHES
     for k in range(ROUNDS):
-        # each list against one member, another one each round: groups of copies fall together at the cost of one pair a row
-        rows = with_label(p.select("node", "n", "prefix")).select("node", "component", F.explode("prefix").alias("token"))
-        rank = F.xxhash64("node", F.lit(k))
-        low = rows.groupBy("token").agg(F.min(rank).alias("h"))
-        hubs = rows.select("token", "component", F.col("node").alias("hub"), rank.alias("h")).join(low, ["token", "h"]).select("token", "hub", F.col("component").alias("hub_component"))
-        pairs = rows.join(hubs, "token").filter("component <> hub_component").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        x = p.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
-        y = p.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
-        pairs = pairs.join(x, "a").join(y, "b").filter(_alike(F.col("n_a"), F.col("n_b")) & close("t_a", "t_b")).select("a", "b")
-        new = verified(pairs, docs)
+        # each list against one member, the most common one and then others: copies fall together at the cost of one pair a row
+        rows = with_label(p).withColumn("h", (-F.col("common") if k == 0 else F.xxhash64("node", F.lit(k)))).select("node", "component", "h", F.explode("prefix").alias("token"))
+        low = rows.groupBy("token").agg(F.min("h").alias("h"))
+        hubs = rows.join(low, ["token", "h"]).groupBy("token").agg(F.min("node").alias("hub"))
+        hubs = hubs.join(_side(with_label(p.select("node")), "_hub"), F.col("hub") == F.col("node_hub")).select("token", "hub", "component_hub")
+        pairs = rows.join(hubs, "token").filter("component <> component_hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        pairs = pairs.join(_side(facts, "_a").withColumnRenamed("node_a", "a"), "a").join(_side(facts, "_b").withColumnRenamed("node_b", "b"), "b")
+        new = verified(checkpoint(pairs.filter(_alike("n_a", "n_b") & _agree("_a", "_b")).select("a", "b")), docs)
         if new.isEmpty():
             break
         found.append(new)
         label = checkpoint(components(reduce(DataFrame.union, found)))
-    # what is left: every pair of a list that isn't in one component yet, met at the first token that its prefixes share
-    rows = with_label(p).select("node", "component", "n", "tokens", "prefix", F.explode("prefix").alias("token"))
+    # what is left: all pairs of a list that aren't in one component yet, met at the first token that their prefixes share
+    rows = with_label(p).select("node", "component", "prefix", F.explode("prefix").alias("token"))
     lists = rows.groupBy("token").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(lists, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.join(lists, "token").join(facts, "node").withColumn("prefix", F.transform("prefix", lambda x: F.hash(x))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a member of block i goes to the pairs of blocks (i, j) for all j
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
-    rows = rows.withColumn("inner", F.col("own") == F.col("other")).drop("blocks", "other")
-    a, b = _side(rows, "a"), _side(rows, "b")
-    meet = a.join(b, ["token", "block"]).filter(
-        (F.col("node_a") < F.col("node_b")) & (F.col("inner_a") | (F.col("own_a") != F.col("own_b"))) & (F.col("component_a") != F.col("component_b")) & _alike(F.col("n_a"), F.col("n_b")) & close("tokens_a", "tokens_b")
-        & (F.get(F.array_intersect("prefix_a", "prefix_b"), F.lit(0)) == F.col("token"))
+    rows = rows.withColumn("inner", F.col("own") == F.col("other")).withColumn("place", F.hash("token")).drop("blocks", "other")
+    key = ("token", "block")
+    meet = _side(rows, "_a", key).join(_side(rows, "_b", key), list(key)).filter(
+        (F.col("node_a") < F.col("node_b")) & (F.col("inner_a") | (F.col("own_a") != F.col("own_b"))) & (F.col("component_a") != F.col("component_b")) & _alike("n_a", "n_b")
+        & _agree("_a", "_b") & (F.get(F.array_intersect("prefix_a", "prefix_b"), F.lit(0)) == F.col("place_a"))
     )
-    pairs = meet.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    found.append(verified(pairs, docs))
+    found.append(verified(checkpoint(meet.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()), docs))
     return reduce(DataFrame.union, found)
 
 
@@ -168,7 +191,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sig = stored(signatures(docs).drop("text"))
     usable = sig.filter("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
-    reps = usable.select(F.col("doc_id").alias("node"), "d1", "d2", F.col("n_shingles").alias("n"), "signature").join(classes, ["node", "d1", "d2"], "left_semi").select("node", "n", "signature")
+    reps = usable.select(F.col("doc_id").alias("node"), "d1", "d2", F.col("n_shingles").alias("n"), "signature", "sketch").join(classes, ["node", "d1", "d2"], "left_semi").select("node", "n", "signature", "sketch")
     label = components(links(reps, docs))
     byclass = classes.join(label, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
     rest = sig.filter("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

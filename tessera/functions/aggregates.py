@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .expressions import name_of
 
@@ -45,9 +46,7 @@ def user_aggregate(initial, update: Callable, merge: Callable, evaluate: Callabl
     import pandas as pd
 
     def apply(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-        fields = [f for f in df.select(*keys).schema.fields]
-        from pyspark.sql import types as T
-
+        fields = df.select(*keys).schema.fields
         partial = T.StructType([*fields, T.StructField("_buffer", T.BinaryType())])
         final = T.StructType([*fields, T.StructField(name, T._parse_datatype_string(kind))])
 
@@ -58,14 +57,14 @@ def user_aggregate(initial, update: Callable, merge: Callable, evaluate: Callabl
                     b = initial()
                     for v in group[value]:
                         b = update(b, v)
-                    out.append((*key, pickle.dumps(b)))
+                    out.append((*[None if pd.isna(k) else k for k in key], pickle.dumps(b)))
                 yield pd.DataFrame(out, columns=partial.names)
 
         def finish(pdf):
             b = initial()
             for x in pdf["_buffer"]:
                 b = merge(b, pickle.loads(x))
-            return pd.DataFrame([(*pdf[keys].iloc[0], evaluate(b))], columns=final.names)
+            return pd.DataFrame([(*[None if pd.isna(k) else k for k in pdf[keys].iloc[0]], evaluate(b))], columns=final.names)
 
         return df.select(*keys, value).mapInPandas(fold, partial).groupBy(*keys).applyInPandas(finish, final)
 

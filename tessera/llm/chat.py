@@ -38,8 +38,8 @@ def canonical(json: Column) -> Column:
 
 
 def quoted(text: Column) -> Column:
-    """A string as JSON."""
-    return F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
+    """A string as JSON; null for null."""
+    return F.when(text.isNotNull(), F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1))
 
 
 def problem(name: Column, arguments: Column, tools: dict) -> Column:

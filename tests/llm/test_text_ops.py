@@ -1,0 +1,462 @@
+import hashlib
+import os
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import mixing, neardup, oracle, pieces, quality, queries, secrets, sharding, substring, toxicity
+from tessera.llm.common import n_words, words
+from tessera.llm.components import components
+from tests.oracle import SMALL, same
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+MODEL = queries.PIECES
+needs_tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no driver tables")
+needs_model = pytest.mark.skipif(not os.path.exists(MODEL), reason="no tokenizer files")
+EDGE = [(1, None), (2, ""), (3, " \t\n"), (4, "a"), (5, "a"), (6, "é  ü\n\nß x\x0by"), (None, "a b c"), (None, None), (7, "w " * 30_000)]
+
+
+@pytest.fixture
+def docs(spark):
+    return lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.fixture
+def edge(spark):
+    """Nulls, empty and long texts, repeated rows, and columns whose names clash with results."""
+    return spark.createDataFrame([(i, t, "s" if k % 2 else None, "x", "y") for k, (i, t) in enumerate(EDGE)], "doc_id long, text string, source string, kept string, score string")
+
+
+@pytest.fixture
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+@needs_tables
+@pytest.mark.parametrize("name", [n for n in oracle.oracle_sql()])
+def test_query_equals_oracle(spark, name):
+    same(queries.queries()[name](spark, SMALL), oracle.oracle_sql()[name])
+
+
+def test_words(spark, docs):
+    got = docs(EDGE).select("text", words(F.col("text")), n_words(F.col("text"))).collect()
+    for t, w, n in got:
+        want = WORD.findall(t or "")
+        assert w == want and n == len(want)
+
+
+# 2, 5
+
+
+def test_mix(spark, edge, empty):
+    rng = random.Random(1)
+    rows = [(i, "w " * rng.randint(0, 60), rng.choice(["big"] * 6 + ["b", "c", "d", None])) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df).collect()
+    assert len(out) == 600 and out[0].asDict().keys() == {"doc_id", "source", "size", "source_size", "target", "copies"}
+    assert sorted(map(tuple, out), key=repr) == sorted(map(tuple, mixing.mix(df.repartition(7)).collect()), key=repr)
+    sizes, taken, target = {}, {}, {}
+    for r in out:
+        assert 0 <= r.copies <= 3
+        sizes[r.source] = sizes.get(r.source, 0) + r.size
+        taken[r.source] = taken.get(r.source, 0) + r.size * r.copies
+        target[r.source] = r.target
+    total, order = sum(sizes.values()), sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    want, open_, left = {}, set(order), float(total)
+    while True:  # reshare until no target is above its limit
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = [s for s in open_ if share[s] > 3 * sizes[s]]
+        if not over:
+            want |= share
+            break
+        for s in over:
+            want[s] = 3.0 * sizes[s]
+            left -= want[s]
+            open_.remove(s)
+    for s in order:
+        assert target[s] == pytest.approx(want[s]) and abs(taken[s] - target[s]) <= 150
+    emitted = mixing.emit(df, mixing.mix(df))
+    assert emitted.count() == sum(r.copies for r in out) and emitted.columns == df.columns
+    assert mixing.mix(edge).count() == len(EDGE) and mixing.mix(empty).count() == 0
+
+
+def test_sharding(spark, docs, edge, empty, tmp_path):
+    shards = [f"s{i}" for i in range(7)]
+    owner = sharding.lookup_table(shards, 1009)
+    sizes = np.bincount(owner)
+    assert sizes.max() - sizes.min() <= 1
+    perm = {i: [(sharding._number(f"offset:{s}") + k * (sharding._number(f"skip:{s}") % 1008 + 1)) % 1009 for k in range(1009)] for i, s in enumerate(shards)}
+    plain, turn = [-1] * 1009, 0
+    while -1 in plain:
+        plain[next(p for p in perm[turn % 7] if plain[p] < 0)] = turn % 7
+        turn += 1
+    assert owner == plain
+    fewer = sharding.lookup_table(shards[:-1], 1009)
+    stay = [i for i in range(1009) if owner[i] != 6]
+    assert sum(owner[i] != fewer[i] for i in stay) < 0.15 * 1009
+    df = spark.range(500).withColumnRenamed("id", "doc_id")
+    for r in sharding.place(df, "doc_id", shards, 1009).collect():
+        s = int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:13], 16) % 1009
+        assert (r.slot, r.shard) == (s, shards[owner[s]])
+    placed = sharding.place(edge.withColumnRenamed("source", "slot"), "doc_id", shards, 1009)
+    assert placed.count() == len(EDGE) and placed.filter("shard is null").count() == 0
+    assert sharding.place(empty, "doc_id", shards).count() == 0
+    sharding.write_shards(df, str(tmp_path / "out"), "doc_id", shards, 1009)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 500
+    for bad in ([], ["a", "a"]):
+        with pytest.raises(ValueError):
+            sharding.lookup_table(bad)
+    with pytest.raises(ValueError):
+        sharding.lookup_table(["a"], 1000)
+
+
+# 3
+
+
+def plain_repeats(w):
+    seen = {}
+    for i in range(len(w) - 7):
+        seen.setdefault(tuple(w[i : i + 8]), []).append(i)
+    return len({p for at in seen.values() if len(at) > 1 for i in at for p in range(i, i + 8)})
+
+
+def plain_fails(line, alone, text):
+    w, r = WORD.findall(line), quality.Rules()
+    n = len(w)
+    marks = sum(line.count(c) for c in quality.SEPARATORS)
+    stutter = sum(a == b for a, b in zip(w, w[1:]))
+    every = WORD.findall(text)
+    thrice = any(a == b == c for a, b, c in zip(every, every[1:], every[2:]))
+    return (
+        sum(line.count(c) for c in "#*$%&<>") > n * r.max_symbols
+        or ("!!" in text and line.count("!") > max(1.0, n * r.max_shouts))
+        or (not alone and n < r.min_open_words and not re.search(r"[.!?:;,…。！？\"'”’)\]]\s*$", line))
+        or (marks >= 2 and marks >= n * r.max_separators)
+        or (thrice and n >= 10 and stutter >= n * r.max_stutter)
+        or any(p in line.lower() for p in quality.BOILERPLATE)
+    )
+
+
+def plain_clean(text):
+    text = text or ""
+    w, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    first = list(dict.fromkeys(lines))
+    good = [x for x in first if not plain_fails(x, len(lines) == 1, text)]
+    base = len(w) < 20 or 100 * plain_repeats(w) > 30 * len(w)
+    chars, kept = sum(map(len, w)), sum(len(x) for line in good for x in WORD.findall(line))
+    return (len(w), chars, sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(first), plain_repeats(w), base, len(lines) - len(good), kept, not base and kept >= chars * quality.Rules().min_kept, "\n".join(good))
+
+
+def test_quality(spark, docs, edge, empty):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(40)]
+    bits = ["Home | About | Contact | Login", "All Rights Reserved.", "x# y$ z%", "GO!! NOW!! YES!!", "tail", "a a a a a a b b b b b b c c c", "\twide  gap \x0b.", ""]
+    texts = ["\n".join(" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 25))) + rng.choice([".", ""]) if rng.random() < 0.7 else rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    texts += ["one two three four five six seven eight " * 5, ("abc " * 9 + "\n") * 4, "q r s t u v w x y " * 3]
+    rows = [(i, t) for i, t in enumerate(texts)] + EDGE
+    names = [c for c in quality.OUT if c not in ("kept", "clean_text")] + ["kept", "clean_text"]
+    out = quality.clean(docs(rows)).select("text", *names).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        want = plain_clean(r.text)
+        got = tuple(r[c] for c in names)
+        assert got[:-1] == want[:-1], r.text
+        assert got[-1] == (None if r.text is None else want[-1])
+    assert quality.clean(edge).count() == len(EDGE) and quality.clean(edge).columns.count("kept") == 1
+    assert quality.clean(empty).count() == 0
+
+
+# 6, 7
+
+
+def plain_substrings(rows):
+    first = {}
+    for i, t in rows:
+        w = WORD.findall(t or "")
+        for k in range(len(w) - 49):
+            key = tuple(w[k : k + 50])
+            if i is not None:
+                first[key] = min(first.get(key, i), i)
+    out = []
+    for i, t in rows:
+        w = WORD.findall(t or "")
+        gone = {p for k in range(len(w) - 49) if i is not None and first[tuple(w[k : k + 50])] < i for p in range(k, k + 50)}
+        out.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_substrings(spark, docs, empty):
+    rng = random.Random(5)
+    vocabulary = [f"v{i}é" for i in range(300)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    passages = [text(n) for n in (49, 50, 51, 70, 120, 400)]
+    rows = []
+    for i in range(90):
+        w = text(rng.randint(0, 150))
+        for _ in range(rng.randint(0, 3)):
+            p = rng.choice(passages)
+            a = rng.randint(0, 20)
+            k = rng.randint(0, len(w))
+            w[k:k] = p[a:]
+        rows.append((i * 3, " ".join(w)))
+    rows += [(1000 + i, rows[i][1]) for i in range(5)] + [(2000, "z " * 500), (2001, "z " * 90), (None, rows[3][1]), (None, None), (3000, None), (3001, ""), (3002, "\n".join(passages[5]))]
+    rng.shuffle(rows)
+    for batches in (1, 3, 5):
+        got = substring.dedup(docs(rows).repartition(5), batches).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+        assert sorted(map(tuple, got), key=repr) == plain_substrings(rows)
+    assert substring.dedup(empty).count() == 0
+    again = substring.dedup(docs([(1, "a " * 80), (1, "a " * 60), (2, "a " * 70)]))  # rows that share a doc_id
+    assert sorted((r.doc_id, r.n_removed) for r in again.collect()) == [(1, 0), (1, 0), (2, 70)]
+
+
+def plain_sets(t):
+    w = WORD.findall("".join(c.lower() if c.isascii() else c for c in t or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def plain_components(rows):
+    sets = [(i, plain_sets(t)) for i, t in rows]
+    label = {i: i for i, _ in sets}
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a, (i, x) in enumerate(sets):
+        for j, y in sets[:a]:
+            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                p, q = top(i), top(j)
+                label[max(p, q)] = min(p, q)
+    return {i: (len(x), top(i)) for i, x in sets}
+
+
+def test_near_duplicates(spark, docs, empty):
+    rng = random.Random(9)
+    text = lambda n: [f"v{rng.randrange(2000)}" for _ in range(n)]
+    shared_passage, rows = text(60), []
+    for g in range(25):
+        base = text(rng.randint(1, 300)) + (shared_passage if g % 3 == 0 else [])
+        for _ in range(rng.randint(1, 9)):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 45))):
+                w[rng.randrange(len(w))] = "edited"
+            rows.append((len(rows) * 7 % 1009, " ".join(w).upper() if rng.random() < 0.2 else " ".join(w)))
+    base = text(200)  # one large group
+    for _ in range(700):
+        w = list(base)
+        for _ in range(rng.randint(0, 8)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        rows.append((5000 + len(rows), " ".join(w)))
+    rows += [(20_000, None), (20_001, ""), (20_002, "a b"), (20_003, "A  B"), (20_004, "a b c")]
+    out = neardup.near_duplicates(docs(rows).repartition(6)).collect()
+    want = plain_components(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want and len(out) == len(rows)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in out)
+    assert neardup.near_duplicates(empty).count() == 0
+
+
+def test_near_duplicates_edges(edge, docs):
+    out = sorted((tuple(r) for r in neardup.near_duplicates(edge).collect()), key=repr)
+    assert len(out) == len(EDGE) and neardup.near_duplicates(edge).columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    assert (5, 1, 4, False) in out and (1, 0, 1, True) in out and (None, 1, None, True) in out and (None, 0, None, True) in out
+    twice = neardup.near_duplicates(docs([(1, "a b c d e f"), (1, "u v w x y z"), (2, "a b c d e f"), (3, "u v w x y z")])).collect()
+    assert {r.component_id for r in twice} == {1}
+
+
+def test_parities_lose_nothing():
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        x = set(rng.integers(0, 2**63, 400).tolist())
+        y = set(list(x)[: rng.integers(200, 400)]) | set(rng.integers(0, 2**63, rng.integers(0, 200)).tolist())
+        p = [np.bincount([v >> 53 for v in s], minlength=1024) % 2 for s in (x, y)]
+        assert (p[0] != p[1]).sum() <= len(x ^ y)
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    links = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)] + [(1000, k) for k in range(1001, 1100)] + [(5, 5)]
+    label = {x: x for e in links for x in e}
+    for _ in range(400):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == label
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# 8
+
+
+def test_toxicity(spark, edge, empty):
+    rng = random.Random(4)
+    plain, bad = [f"w{i}" for i in range(400)], ["vile", "nasty", "horrid"]
+    rows, labels = [], []
+    for i in range(1500):
+        toxic = rng.random() < 0.15
+        w = [rng.choice(plain) for _ in range(rng.randint(20, 60))] + (rng.sample(bad, 2) if toxic else [])
+        rng.shuffle(w)
+        rows.append((i, " ".join(w) + "."))
+        if rng.random() < 0.5:
+            labels.append((i, int(toxic)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, marks)
+    got = {r.doc_id: (r.score, r.predicted) for r in toxicity.score(docs, model).collect()}
+    held = {r[0] for r in docs.filter(toxicity.held_out(docs.doc_id)).select("doc_id").collect()}
+    import zlib
+
+    assert held == {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    test = [(got[i][1], t) for i, t in labels if i in held]
+    assert sum(a == b for a, b in test) >= 0.95 * len(test) and any(t for _, t in test)
+    assert all(0 <= s <= 1 and p == (s >= 0.5) for s, p in got.values())
+    out = toxicity.score(edge, model).collect()
+    assert len(out) == len(EDGE) and all(0 <= r.score <= 1 for r in out)
+    assert toxicity.score(empty, model).count() == 0
+    none = toxicity.train(docs, marks.filter("toxic = 0"))
+    assert none.weights == {} and none.score("vile") < 0.5
+
+
+# 9
+
+
+def plain_base(text):
+    """The base patterns by hand, without the re module."""
+    low = "".join(c.lower() if c.isascii() else c for c in text)
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    found, i = [], 0
+    while i < len(text):
+        name = next((n for n in ("password", "passwd", "secret", "token", "api_key", "apikey") if low.startswith(n, i)), None)
+        end = None
+        if name:
+            j = i + len(name)
+            for first in ((j + 1,) if text[j : j + 1] in ('"', "'") and text[j : j + 1] else ()) + (j,):
+                k = first
+                while text[k : k + 1] == " ":
+                    k += 1
+                if text[k : k + 1] and text[k] in ":=":
+                    k += 1
+                    while text[k : k + 1] == " ":
+                        k += 1
+                    if text[k : k + 1] and text[k] in "\"'":
+                        k += 1
+                    m = k
+                    while m < len(text) and text[m] in value:
+                        m += 1
+                    if m > k:
+                        end = m
+                        if m - k >= 8:
+                            found.append(("assign", i, m))
+                        break
+        i = end or i + 1
+    for kind, start, alphabet, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16), ("hex", "", set("0123456789abcdef"), 32)):
+        i = 0
+        while i < len(text):
+            if text.startswith(start, i) and (start or text[i] in alphabet):
+                j = i + len(start)
+                while j < len(text) and text[j] in alphabet:
+                    j += 1
+                if j > i + len(start):
+                    if j - i >= least:
+                        found.append((kind, i, j))
+                    i = j
+                    continue
+            i += 1
+    return sorted(found, key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+
+
+def test_base_spans():
+    rng = random.Random(6)
+    bits = ["password", "Passwd", "SECRET", "token", "api_key", "APIKEY", "paſſword", "=", ":", " ", "  ", '"', "'", "abcdefgh", "x1", "é", "AKIA", "AKIA" + "B" * 13, "ABC123XYZ7890", "0f" * 16, "deadbeef", "\n", "a/b+c_d.e-f="]
+    for _ in range(4000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        assert secrets.base_spans(t) == plain_base(t), t
+
+
+@pytest.mark.parametrize(
+    "text,literals",
+    [
+        ('db = "hunter2hunter2"\npassword = db', ["hunter2hunter2"]),
+        ("a = 'q8w7e6r5t4'\nb = a\nc = b\nclient_secret = c", ["q8w7e6r5t4"]),
+        ("DB_PASSPHRASE: s3cr3tV4lue!", ["s3cr3tV4lue"]),
+        ('{"privateKey": "MIIEvQIBADAN"}', ["MIIEvQIBADAN"]),
+        ('x = x\npassword = x', []),
+        ("token_count = 123456789", []),
+        ('passphrase = "changeme"', []),
+        ("He said: privately, nothing = everything", []),
+        ('colour = "a1b2c3d4e5f6"', []),
+    ],
+)
+def test_lexer(text, literals):
+    base, every = secrets.spans(text)
+    assert [text[a:b] for k, a, b in every if k == "literal"] == literals
+    assert set(base) <= set(every)
+
+
+def test_scan(spark, docs, edge, empty):
+    t = 'é password=abcdefgh12 then token = "' + "0f" * 20 + '" end'
+    r = secrets.scan(docs([(1, t)])).first()
+    assert (r.n_assign, r.n_access, r.n_hex) == (2, 0, 1)
+    assert r.spans == "assign:2:21,assign:27:76,hex:36:76"
+    assert r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest()
+    assert r.clean_text == 'é [SECRET] then [SECRET]" end'
+    out = secrets.scan(edge)
+    assert out.count() == len(EDGE) and all(x.spans == "" for x in out.collect())
+    assert secrets.scan(empty).count() == 0
+
+
+# 10
+
+
+@needs_model
+def test_pieces_equal_the_library(spark, docs, empty):
+    import sentencepiece
+
+    model = queries.model_bytes()
+    ref, t = sentencepiece.SentencePieceProcessor(model_proto=model), pieces.Transducer(model)
+    texts = ["", " ", "  a  b ", "a\n b", " \n", "\n\n x", "a▁b", "𝔘x é\t\x00 q", "a" * 300, "x \n", "日本語のテキスト 한국어", "...   ..", "\na", "if (x) {\n    return  y;\n}"]
+    rng = random.Random(8)
+    texts += ["".join(rng.choice("abcdeéßñ  \n.,ingtheон語🙂") for _ in range(rng.randint(1, 60))) for _ in range(500)]
+    for x in texts:
+        ids = np.frombuffer(t.encode(x), np.int32).tolist()
+        assert ids == ref.encode(x), x
+        if "▁" not in x:
+            assert t.decode(ids) == x.encode()
+    out = pieces.encode(docs(EDGE), model)
+    for r in out.collect():
+        assert r.ids == (None if r.text is None else ref.encode(r.text)) and r.n_pieces == len(r.ids or [])
+        assert r.round_trip is (None if r.text is None else True)
+    assert pieces.encode(empty, model).count() == 0
+    assert [r.decoded for r in pieces.decode(out.filter("text = 'a b c'"), model).collect()] == ["a b c"]
+
+
+def varint(n):
+    out = b""
+    while n > 127:
+        out += bytes([n & 127 | 128])
+        n >>= 7
+    return out + bytes([n])
+
+
+def test_unigram_takes_the_cheapest_path():
+    """A small unigram model, against all segmentations."""
+    import struct
+
+    costs = {"▁": 3.0, "a": 2.0, "b": 2.5, "c": 2.2, "ab": 3.0, "bc": 2.9, "▁a": 3.5, "abc": 5.6, "cc": 9.0}
+    field = lambda k, v: varint(k << 3 | 2) + varint(len(v)) + v
+    piece = lambda p, s, kind: field(1, field(1, p.encode()) + varint(2 << 3 | 5) + struct.pack("<f", s) + varint(3 << 3) + varint(kind))
+    model = piece("<unk>", 0.0, 2) + b"".join(piece(p, -c, 1) for p, c in costs.items()) + field(2, varint(3 << 3) + varint(1)) + field(3, varint(4 << 3) + varint(0))
+    t = pieces.Transducer(model)
+
+    def best(s):
+        return min(((costs[s[:k]] + c, [s[:k], *r]) for k in range(1, len(s) + 1) if s[:k] in costs for c, r in [best(s[k:])]), default=(float("inf"), [])) if s else (0.0, [])
+
+    rng = random.Random(1)
+    for _ in range(200):
+        x = "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))
+        got = [t.pieces[i] for i in np.frombuffer(t.encode(x), np.int32)]
+        assert "".join(got) == "▁" + x and sum(costs[p] for p in got) == pytest.approx(best("▁" + x)[0])
+    assert [t.pieces[i] for i in np.frombuffer(t.encode("aZb"), np.int32)] == ["▁a", "<unk>", "b"]

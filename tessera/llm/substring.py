@@ -198,7 +198,7 @@ def add_batch(index: Index, batch: DataFrame, seen: DataFrame, last: bool = Fals
     several = first.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
     wanted = first.join(several, "fp", "left_semi").select(F.col("first").alias("doc_id"), "fp").groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
     w = stored(windows(with_texts(seen, stored(wanted))))
-    least = w.groupBy("fp", "h").agg(F.min("doc_id").alias("first"))
+    least = stored(w.groupBy("fp", "h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last"))  # written, so that a hot window's rows can be split in the join
     part = w.join(least, ["fp", "h"]).filter("first < doc_id").select("doc_id", F.col("pos").alias("start"), F.lit(1).alias("len"))
     spans = stored(whole.union(part).groupBy("doc_id").agg(F.collect_list(F.struct("start", "len")).alias("spans")))
     less = stored(removed(with_texts(batch, spans)))  # with_texts(batch) leaves earlier documents out

@@ -29,7 +29,7 @@ STEMS = (4, 5, 6, 7)
 #: A feature is dense where one of so many distinct words has it.
 DENSE = 80
 #: Words whose features a worker keeps; then it starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 
 
 def features(word: str) -> set[str]:

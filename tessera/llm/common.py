@@ -100,5 +100,6 @@ def with_arrays(df: DataFrame, make, fields: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Batches for Python hold few rows, as texts can be long."""
+    """Batches for Python hold few rows and bytes, as texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")

@@ -460,3 +460,22 @@ def test_unigram_takes_the_cheapest_path():
         got = [t.pieces[i] for i in np.frombuffer(t.encode(x), np.int32)]
         assert "".join(got) == "▁" + x and sum(costs[p] for p in got) == pytest.approx(best("▁" + x)[0])
     assert [t.pieces[i] for i in np.frombuffer(t.encode("aZb"), np.int32)] == ["▁a", "<unk>", "b"]
+
+
+def test_lists_in_blocks_and_shuffled_texts(spark, docs, monkeypatch):
+    """Without rounds of common members, with small blocks and without broadcast keys all links are still found."""
+    from tessera.llm import common
+
+    monkeypatch.setattr(neardup, "ROUNDS", 0)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
+    rng = random.Random(12)
+    base = [f"v{rng.randrange(2000)}" for _ in range(150)]
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    out = neardup.near_duplicates(docs(rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == plain_components(rows)

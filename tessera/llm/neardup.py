@@ -23,7 +23,7 @@ AGREE, PARITIES = 34, 1024
 SKETCH = [f"s{i}" for i in range(COORDINATES // 16)]
 ODD = [f"o{i}" for i in range(PARITIES // 64)]
 #: Rounds in which each posting list is compared with one member, before the lists are compared pair by pair.
-ROUNDS = 3
+ROUNDS = 1
 #: Longer posting lists are cut into blocks, so that no task holds more than a pair of blocks.
 BLOCK = 512
 

@@ -199,7 +199,7 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = 10, ef: int = SEARCH_
     return best.select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(embeddings: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
+def nearest(embeddings: DataFrame, is_query: Column, k: int = 10, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """For each row that is_query picks, the k nearest others by Euclidean distance (all, if fewer), as found by the graphs.
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without vec_id; vectors
@@ -208,4 +208,4 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     smaller vec_id. An empty table gives an empty result."""
     v = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     v = stored(v.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).dropDuplicates(["vec_id", "embedding"]))
-    return search(index(v), v.filter(is_query), k)
+    return search(index(v, shard_rows), v.filter(is_query), k)

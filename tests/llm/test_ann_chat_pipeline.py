@@ -30,13 +30,7 @@ def test_nearest(spark):
     rows = [(i, [float(v) for v in x[i]]) for i in range(3000)]
     bad = [(10_000, None), (10_100, []), (10_200, [0.0] * 16), (10_300, [None] + [1.0] * 15), (10_400, [float("nan")] * 16), (10_500, [float("inf")] * 16), (None, rows[1][1])]
     df = spark.createDataFrame(rows + bad + rows[:50], "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash"))
-    old, ann.SHARD_ROWS = ann.SHARD_ROWS, 700
-    try:
-        ann.index.__defaults__ = (700,)
-        got = ann.nearest(df, F.col("vec_id") % 100 == 0).collect()
-    finally:
-        ann.SHARD_ROWS = old
-        ann.index.__defaults__ = (old,)
+    got = ann.nearest(df, F.col("vec_id") % 100 == 0, shard_rows=700).collect()
     want, found = plain_nearest(rows), {}
     for r in got:
         found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))

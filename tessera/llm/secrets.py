@@ -29,10 +29,16 @@ PLACEHOLDERS = frozenset("changeme change_me password secret token example place
 NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 #: name, operator, then the first term of the value; names and quoted strings as source and configuration write them.
-TARGET = re.compile(r"""(?<![A-Za-z0-9_.\-])(["']?)([A-Za-z_][A-Za-z0-9_.\-]{0,63})\1[\x20\t]*(?::[\x20\t]*(?:str|string|String)[\x20\t]*=|:=|=>|=(?![=>])|:(?![:/]))[\x20\t]*""")
-TERM = re.compile(r"""(?:[bBrRuUfF]{0,2})(?:"((?:[^"\\\n]|\\.){0,4096})"|'((?:[^'\\\n]|\\.){0,4096})'|`([^`\n]{0,4096})`)|([A-Za-z0-9+/_.=\-]{1,4096})""")
+TARGET = re.compile(r"""(?<![A-Za-z0-9_.\-])(["']?)([A-Za-z_][A-Za-z0-9_.\-]*+)\1[\x20\t]*(?::[\x20\t]*(?:str|string|String)[\x20\t]*=|:=|=>|=(?![=>])|:(?![:/]))[\x20\t]*""")
+TERM = re.compile(
+    r"""[bBrRuUfF]{0,2}(?:"{3}([^"\\]*+(?:(?:\\.|"(?!""))[^"\\]*+)*+)"{3}|'{3}([^'\\]*+(?:(?:\\.|'(?!''))[^'\\]*+)*+)'{3}"""
+    r"""|"([^"\\]*+(?:\\.[^"\\]*+)*+)"|'([^'\\]*+(?:\\.[^'\\]*+)*+)'|`([^`]*+)`)|([A-Za-z0-9+/_.=\-]++)""",
+    re.S,
+)
+TRIPLE, BARE = 2, 6  # groups of TERM: up to the one, after the quoted ones
 JOIN = re.compile(r"[\x20\t]*[+.][\x20\t]*(?=[\"'`A-Za-z_])")
-IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]{0,63}\Z")
+IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*+\Z")
+ARMOUR = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]+-----")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -59,7 +65,9 @@ def name_score(name: str) -> int:
 
 
 def literal_score(value: str) -> int:
-    """0 for what can't be a secret: short, with spaces, a placeholder, or of little entropy."""
+    """0 for what can't be a secret: short, with spaces, a placeholder, or of little entropy. Lines count as one value, without armour and indents."""
+    if "\n" in value:
+        value = "".join(x for line in value.split("\n") if not ARMOUR.fullmatch(x := line.strip()))
     low = value.lower()
     if len(value) < 8 or any(c.isspace() for c in value) or low in PLACEHOLDERS or re.match(r"\$|<|%[({]|\{\{|https?:|/|\*+$|x+$", low):
         return 0
@@ -70,42 +78,55 @@ def literal_score(value: str) -> int:
 
 
 def assignments(text: str):
-    """(name, literals, references) of each assignment; literals are spans with their values."""
+    """(name, literals, bare) of each assignment: quoted literals and unquoted terms, as spans with their values.
+
+    Strings of several lines or in triple quotes are taken without the white space around them; what they hold is searched for assignments too."""
     at = 0
     while m := TARGET.search(text, at):
-        at, literals, references = m.end(), [], []
-        where = at
+        where, inside, literals, bare = m.end(), None, [], []
+        at = where
         while t := TERM.match(text, where):
-            if t[4] is None:
-                k = next(k for k in (1, 2, 3) if t[k] is not None)
-                literals.append((t.start(k), t.end(k), t[k]))
-            elif IDENTIFIER.match(t[4]) and not any(c.isdigit() for c in t[4]):
-                references.append(t[4])
+            k, at = t.lastindex, t.end()
+            a, b, value = t.start(k), t.end(k), t[k]
+            if k == BARE:
+                bare.append((a, b, value))
             else:
-                literals.append((t.start(4), t.end(4), t[4]))
-            at = t.end()
+                if k <= TRIPLE or "\n" in value:
+                    inside = a if inside is None else inside
+                    a += len(value) - len(value.lstrip())
+                    value = value.strip()
+                literals.append((a, a + len(value), value))
             j = JOIN.match(text, at)
             if not j:
                 break
             where = j.end()
-        if literals or references:
-            yield m[2], literals, references
+        at = at if inside is None else inside
+        if literals or bare:
+            yield m[2], literals, bare
 
 
 def literal_spans(text: str, threshold: int = 4) -> list[tuple[str, int, int]]:
-    """Literals that reach a sensitive name, directly or by names that hold them, with a high enough joint score."""
+    """Literals that reach a sensitive name, directly or by names that hold them, with a high enough joint score.
+
+    An unquoted term is a reference if the text assigns its name; other names without digits are no literals."""
     if "=" not in text and ":" not in text:
         return []
     literals, holds, score = defaultdict(list), defaultdict(set), {}
-    for name, own, references in assignments(text):
+    found = list(assignments(text))
+    names = {name for name, _, _ in found}
+    for name, own, bare in found:
         literals[name] += own
-        holds[name].update(references)
+        for x in bare:
+            if x[2] in names:
+                holds[name].add(x[2])
+            elif not IDENTIFIER.match(x[2]) or any(c.isdigit() for c in x[2]):
+                literals[name].append(x)
         score[name] = max(score.get(name, 0), name_score(name))
     queue = [n for n in score if score[n]]
     while queue:  # from sensitive targets back to the constants that they take
         name = queue.pop()
         for r in holds[name]:
-            if r in literals and score.get(r, 0) < score[name]:
+            if score[r] < score[name]:
                 score[r] = score[name]
                 queue.append(r)
     return in_order({("literal", a, b) for n in score if score[n] for a, b, v in literals[n] if (k := literal_score(v)) and score[n] + k >= threshold})

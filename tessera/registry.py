@@ -201,6 +201,10 @@ for _how, _kind in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT J
     query(f"SELECT c_custkey, c_name, o_orderkey, o_custkey FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) {_kind} (SELECT * FROM orders WHERE o_custkey % 2 = 0) ON c_custkey = o_custkey", name=f"join_{_how}")(
         lambda t, spark, how=_how: joins.equi_join(*_sides(t), "c_custkey", "o_custkey", how)
     )
+for _how, _kind in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):  # the same over whole tables
+    query(f"SELECT c_custkey, c_name, o_orderkey, o_custkey FROM customer {_kind} orders ON c_custkey = o_custkey", name=f"join_{_how}_whole")(
+        lambda t, spark, how=_how: joins.equi_join(t("customer").select("c_custkey", "c_name"), t("orders").select("o_orderkey", "o_custkey"), "c_custkey", "o_custkey", how)
+    )
 for _how, _not in (("left_semi", ""), ("left_anti", "NOT ")):
     query(f"SELECT c_custkey, c_name FROM customer WHERE {_not}EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000.0)", name=f"join_{_how}")(
         lambda t, spark, how=_how: joins.equi_join(t("customer").select("c_custkey", "c_name"), t("orders").filter("o_totalprice > 250000.0"), "c_custkey", "o_custkey", how)
@@ -335,6 +339,12 @@ def cogroup(t, spark):
     return c.select("k", F.array_join("v", ",").alias("v"), F.array_join("w", ",").alias("w"))
 
 
+@query("WITH a AS (SELECT o_custkey AS k, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS v FROM orders GROUP BY 1), b AS (SELECT c_custkey AS k, string_agg(CAST(c_nationkey AS VARCHAR), ',' ORDER BY c_nationkey) AS w FROM customer GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, coalesce(v, '') AS v, coalesce(w, '') AS w FROM a FULL JOIN b ON a.k = b.k")
+def cogroup_whole(t, spark):
+    c = keyed.cogroup(_pairs(t), keyed.map_to_pair(t("customer"), "c_custkey", "c_nationkey"))
+    return c.select("k", F.array_join("v", ",").alias("v"), F.array_join("w", ",").alias("w"))
+
+
 @query("SELECT o_custkey AS k, o_orderkey AS v, c_mktsegment AS w FROM orders JOIN customer ON o_custkey = c_custkey")
 def pair_join(t, spark):
     return keyed.join(_pairs(t), keyed.map_to_pair(t("customer"), "c_custkey", "c_mktsegment"))

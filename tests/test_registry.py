@@ -14,6 +14,24 @@ def test_query_equals_oracle(spark, name):
     same(registry.queries()[name](spark, SMALL), registry.oracle_sql()[name])
 
 
+@pytest.mark.parametrize("name", ["join_inner", "join_left", "join_right", "join_full", "cogroup"])
+def test_some_query_takes_whole_tables(spark, name):
+    q = {k: f for k, f in registry.queries().items() if k in (name, f"{name}_whole")}
+    customers = {r[0] for r in spark.read.parquet(f"{SMALL}/customer.parquet").select("c_custkey").collect()}
+    orders = {r[0]: r[1] for r in spark.read.parquet(f"{SMALL}/orders.parquet").select("o_orderkey", "o_custkey").collect()}
+
+    def whole(f):
+        out = f(spark, SMALL).collect()
+        if name == "cogroup":
+            return {r.k for r in out} == customers | set(orders.values()) and {int(x) for r in out for x in r.v.split(",") if x} == set(orders)
+        lone = set() if name in ("join_inner", "join_right") else customers - set(orders.values())
+        strays = set() if name in ("join_inner", "join_left") else {k for k, c in orders.items() if c not in customers}
+        met = {k for k, c in orders.items() if c in customers}
+        return {r.c_custkey for r in out} - {None} == (customers & set(orders.values())) | lone and {r.o_orderkey for r in out} - {None} == met | strays
+
+    assert any(whole(f) for f in q.values())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -1,7 +1,7 @@
 """A corpus pipeline: quality rules, near-duplicates, secrets, mixing, then piece ids.
 
 Each stage takes (spark, docs, sf_dir), docs with the columns of documents, and returns a DataFrame of the same columns; the
-last returns piece ids. doc_id identifies a row of documents. Null or empty texts fail the quality rules, so that no later stage
+last returns piece ids. Columns may be null; rows that repeat a doc_id are one document, of which the second stage keeps one row. Null or empty texts fail the quality rules, so that no later stage
 meets them; if run alone, stages treat them as their operators say."""
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing, neardup, pieces, quality, secrets
-from tessera.llm.common import shared_dir
+from tessera.llm.common import BROADCAST_KEYS, shared_dir, stored
 from tessera.llm.queries import model_bytes
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,15 +22,26 @@ def _with_text(df: DataFrame, text: str) -> DataFrame:
     return df.select("doc_id", F.col(text).alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars"))
 
 
+def _keys(keys: DataFrame) -> DataFrame:
+    """Keys, broadcast up to the checked bound, so that texts aren't shuffled."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are kept, without the lines that failed."""
     return _with_text(quality.clean(docs.select(*COLUMNS)).filter("kept"), "clean_text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id."""
-    gone = neardup.near_duplicates(docs.select("doc_id", "text")).filter("not kept").select("doc_id")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group: the one with the smallest doc_id, of rows that repeat it the one with the greatest text.
+
+    Rows without a doc_id are groups of their own."""
+    docs = docs.select(*COLUMNS)
+    gone = stored(neardup.near_duplicates(docs.select("doc_id", "text")).filter("not kept").select("doc_id").distinct())
+    again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    again = stored(again.join(gone, "doc_id", "left_anti"))
+    one = docs.join(_keys(again), "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
+    return docs.join(_keys(gone.union(again)), "doc_id", "left_anti").select(*COLUMNS).union(one.select(*COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +51,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, none to three times."""
-    docs = docs.select(*COLUMNS)
-    return mixing.emit(docs, mixing.mix(docs)).select(*COLUMNS)
+    return mixing.taken(docs.select(*COLUMNS))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

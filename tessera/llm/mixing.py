@@ -46,7 +46,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = M
     the target. The order is range-partitioned with the place in a source found from counts by partition, so
     a source with a third of all rows is spread over tasks. A null text has size 0, a null source is a source of
     its own, equal rows are told apart by their place only; an empty table gives an empty result."""
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    return _mixed(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), weights, max_repeat, seed)
+
+
+def _mixed(rows: DataFrame, weights: Sequence[float], max_repeat: int, seed: int) -> DataFrame:
+    """mix() of (doc_id, source, size); further columns are carried along."""
+    more = [c for c in rows.columns if c not in ("doc_id", "source", "size")]
     rows = stored(rows)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartitionByRange(n, F.col("source"), F.col("size"), F.col("doc_id")).sortWithinPartitions("source", "size", "doc_id")
@@ -61,10 +66,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = M
     out = placed.join(parts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_part") == F.col("_p")))
     rank = (F.col("_at") - F.col("_first") + F.col("_before")).cast("double")
     crossed = F.floor(F.col("_u") + F.col("_r") * (rank + 1)) - F.floor(F.col("_u") + F.col("_r") * rank)
-    return out.select("doc_id", "source", "size", "source_size", "target", F.least(crossed, F.ceil("_r")).cast("long").alias("copies"))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.least(crossed, F.ceil("_r")).cast("long").alias("copies"), *more)
+
+
+def taken(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
+    """The mix itself, as rows of docs with all their columns: each row as often as mix() says, whatever its doc_id.
+
+    Rows go through the mix whole, as nothing in them need tell one from another."""
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"))
+    out = _mixed(rows, weights, max_repeat, seed).filter("copies > 0")
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_i")).select("_row.*")
 
 
 def emit(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix itself: each row of docs as often as its copies say. doc_id must be unique and not null."""
+    """The mix itself: each row of docs as often as its copies say. doc_id must be unique and not null; taken() needs neither."""
     n = mixed.filter("copies > 0").select("doc_id", "copies")
     return docs.join(n, "doc_id").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)

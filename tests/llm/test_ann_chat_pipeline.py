@@ -132,3 +132,36 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def wordy(seed, n=60):
+    rng = random.Random(seed)
+    return ". ".join(" ".join(f"word{rng.randrange(500)}" for _ in range(9)) for _ in range(n // 9)) + "."
+
+
+@needs_model
+def test_pipeline_with_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, wordy(1), "en", "a", 1), (None, wordy(2), None, None, None), (7, wordy(3), "en", "a", 1), (7, wordy(3), "en", "a", 1), (8, wordy(4), "en", "a", 1), (8, wordy(5), "en", "b", 1), (9, wordy(3), "en", "a", 1)]
+    rows += [(100 + i, wordy(100 + i), "en", "b", 1) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id for r in left), key=repr) == sorted([None, None, 7, 8, *range(100, 120)], key=repr)
+    assert {r.text for r in left if r.doc_id is None} == {wordy(1), wordy(2)} and [r.text for r in left if r.doc_id == 8] == [max(wordy(4), wordy(5))]
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    mixed = mixing.mix(spark.createDataFrame(left, docs.schema)).collect()
+    assert sorted((r.doc_id for r in out), key=repr) == sorted((r.doc_id for r in mixed for _ in range(r.copies)), key=repr)
+    assert None in {r.doc_id for r in out}
+
+
+def test_taken_rows(spark):
+    rows = [(1, wordy(1), "a", 5), (1, wordy(1), "a", 6), (1, wordy(2), "a", None), (None, wordy(3), None, 1), (None, None, "b", 1)]
+    rows += [(10 + i, wordy(10 + i, 9 * (i + 1)), "b", 1) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long")
+    out, mixed = mixing.taken(docs), mixing.mix(docs).collect()
+    assert out.columns == docs.columns and out.count() == sum(r.copies for r in mixed)
+    counts = {}
+    for r in out.collect():
+        counts[tuple(r)] = counts.get(tuple(r), 0) + 1
+    assert max(counts.values()) <= 3 and set(counts) <= set(rows)
+    assert {k[0] for k in counts} >= {r.doc_id for r in mixed if r.copies} and mixing.taken(docs.limit(0)).count() == 0

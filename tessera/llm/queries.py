@@ -45,7 +45,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return substring.dedup(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

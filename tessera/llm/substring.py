@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import shared_dir, small_batches, stored, with_arrays, with_texts
+from .common import BROADCAST_KEYS, shared_dir, small_batches, stored, with_arrays, with_texts
 
 WINDOW, GRAM = 50, 25
 #: Batches that a table is split into, by doc_id, and runs of a level that are compacted into one.
 BATCHES, FAN_IN = 3, 2
+#: What dedup() adds to a table.
+RESULTS = ("n_words", "n_removed", "kept_sha256", "clean_text")
 
 
 def _fingerprints(h: np.ndarray) -> np.ndarray:
@@ -116,13 +118,13 @@ def windows(texts: DataFrame) -> DataFrame:
 
 
 def removed(texts: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, clean_text) of (doc_id, text, spans), spans being (start, len) of windows."""
+    """texts with n_words, n_removed, kept_sha256 and clean_text in place of spans, which are (start, len) of windows."""
     import pyarrow as pa
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for i, (t, spans) in enumerate(zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans"), strict=True)):
+    def make():
+        def of(b):
+            out = [[], [], [], []]
+            for t, spans in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans"), strict=True):
                 w = (t or b"").split()
                 edge = np.zeros(len(w) + 1, np.int32)
                 s = spans.values
@@ -132,11 +134,14 @@ def removed(texts: DataFrame) -> DataFrame:
                 np.add.at(edge, (start + length + WINDOW - 1)[fits], -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 kept = [w[k] for k in np.flatnonzero(~gone)]
-                out.append((b.column("doc_id")[i].as_py(), len(w), int(gone.sum()), _kept_hash(kept), b" ".join(kept).decode()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "clean_text"])
+                clean = b" ".join(kept) if gone.any() else t
+                for x, y in zip(out, (len(w), int(gone.sum()), _kept_hash(kept), None if clean is None else clean.decode()), strict=True):
+                    x.append(y)
+            return [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
 
-    small_batches(texts.sparkSession)
-    return texts.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, clean_text string")
+        return of
+
+    return with_arrays(texts, make, "n_words long, n_removed long, kept_sha256 string, clean_text string").drop("spans")
 
 
 @dataclass
@@ -177,11 +182,11 @@ class Index:
 
 
 def add_batch(index: Index, batch: DataFrame, seen: DataFrame, last: bool = False) -> DataFrame:
-    """Adds documents to the index and returns (doc_id, n_words, n_removed, kept_sha256) of each.
+    """Adds documents to the index and returns batch with n_words, n_removed, kept_sha256 and clean_text.
 
-    batch and seen hold (doc_id, text); seen holds this batch and all before it, for verification, and every doc_id in
+    batch and seen hold doc_id and text, batch further columns too, if any, as a struct; seen holds this batch and all before it, for verification, and every doc_id in
     the batch is above those before."""
-    summary = stored(stretches(batch).drop("text"))
+    summary = stored(stretches(batch))
     own = summary.select("doc_id", F.explode(F.arrays_zip("fp", "g", "start", "len")).alias("x")).select("doc_id", "x.*")
     run = index.write(own.groupBy("fp", "g").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
     new, old = index.spark.table(run), index.rows()
@@ -197,25 +202,36 @@ def add_batch(index: Index, batch: DataFrame, seen: DataFrame, last: bool = Fals
     # fingerprints with several stretches: the windows of one document for each stretch, compared one by one
     several = first.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
     wanted = first.join(several, "fp", "left_semi").select(F.col("first").alias("doc_id"), "fp").groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
-    w = stored(windows(with_texts(seen, stored(wanted))))
+    w = stored(windows(with_texts(seen.select("doc_id", "text"), stored(wanted))))
     least = stored(w.groupBy("fp", "h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last"))  # written, so that a hot window's rows can be split in the join
     part = w.join(least, ["fp", "h"]).filter("first < doc_id").select("doc_id", F.col("pos").alias("start"), F.lit(1).alias("len"))
     spans = stored(whole.union(part).groupBy("doc_id").agg(F.collect_list(F.struct("start", "len")).alias("spans")))
     less = stored(removed(with_texts(batch, spans)))  # with_texts(batch) leaves earlier documents out
-    rest = summary.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256").join(less.select("doc_id"), "doc_id", "left_anti")
+    changed = spans.select("doc_id")
+    rest = _unchanged(summary).join(F.broadcast(changed) if changed.count() <= BROADCAST_KEYS else changed, "doc_id", "left_anti")
     index.add(run, last)
-    return less.select("doc_id", "n_words", "n_removed", "kept_sha256").union(rest)
+    return less.unionByName(rest)
+
+
+def _unchanged(summary: DataFrame) -> DataFrame:
+    """The results of documents that lose nothing, from stretches()."""
+    return summary.drop("fp", "g", "start", "len").withColumns({"n_removed": F.lit(0).cast("long"), "clean_text": F.col("text")})
 
 
 def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256), one row for each row of docs.
+    """docs with n_words, n_removed, kept_sha256 and clean_text, one row for each row of docs; columns of their names are replaced.
+
+    clean_text is the text as it was if nothing goes, else the words that stay, one space between them; kept_sha256 is of those words in
+    either case. Texts are read from storage only if they are asked for.
 
     Each word goes that a window of WINDOW words covers whose words also start in a document with a smaller doc_id, as judged on the
     input. The table is fed to an empty index in batches of rising doc_id. A null text has no words; a row
     without a doc_id neither loses words nor takes them from others. Rows that share a doc_id are one document as to what is
     smaller: they don't take words from each other, and each loses what either of them shares with smaller ones
     (a removal found at a place applies to the rows with that doc_id alike, where they have such a place)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    more = [c for c in docs.columns if c not in ("doc_id", "text", *RESULTS)]
+    packed = [F.struct(*[f"`{c}`" for c in more]).alias("_more")] if more else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *packed)
     spark = docs.sparkSession
     cuts = docs.select(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
     edges = [None, *sorted(set(cuts or [])), None]
@@ -223,7 +239,7 @@ def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
         seen = docs.filter("doc_id is not null" if hi is None else F.col("doc_id") <= hi)
         batch = seen if lo is None else seen.filter(F.col("doc_id") > lo)
-        out.append(stored(add_batch(index, batch, seen, last=k == len(edges) - 2)))
+        out.append(add_batch(index, batch, seen, last=k == len(edges) - 2))
     index.drop()
-    nameless = stretches(docs.filter("doc_id is null")).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
-    return reduce(DataFrame.union, out).union(nameless)
+    nameless = _unchanged(stretches(docs.filter("doc_id is null")))
+    return reduce(DataFrame.unionByName, [*out, nameless]).select("doc_id", "text", *[F.col("_more")[c].alias(c) for c in more], *RESULTS)

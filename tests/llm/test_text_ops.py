@@ -213,6 +213,18 @@ def test_substrings(spark, docs, empty):
     assert sorted((r.doc_id, r.n_removed) for r in again.collect()) == [(1, 0), (1, 0), (2, 70)]
 
 
+def test_substrings_keep_texts_and_columns(spark):
+    long, other = " ".join(f"w{i}" for i in range(80)), " ".join(f"u{i}" for i in range(20))
+    rows = [(1, long, "a", 1), (2, f"{other}\n{long}  end", None, 2), (2, None, "c", 3), (3, f" {other} \n", "d", None), (None, long, "e", 5), (4, None, None, None), (5, long, "f", 6)]
+    out = substring.dedup(spark.createDataFrame(rows, "doc_id long, text string, spans string, `n.fp` int")).collect()
+    assert sorted((tuple(r[c] for c in ("doc_id", "text", "spans", "n.fp")) for r in out), key=repr) == sorted(rows, key=repr)
+    want = {1: long, 2: f"{other} end", 3: None, None: f" {other} \n", 5: long, 6: ""}
+    assert {r["n.fp"]: r.clean_text for r in out if r.doc_id != 4} == want and [r.clean_text for r in out if r.doc_id == 4] == [None]
+    for r in out:
+        assert r.kept_sha256 == hashlib.sha256(" ".join(WORD.findall(r.clean_text or "")).encode()).hexdigest()
+        assert r.n_words - r.n_removed == len(WORD.findall(r.clean_text or ""))
+
+
 def plain_sets(t):
     w = WORD.findall("".join(c.lower() if c.isascii() else c for c in t or ""))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()

@@ -116,8 +116,9 @@ RESPOND = {"respond": {"type": "object", "properties": {"prompt": {"type": "stri
 def exchanges(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Plain conversations as calls and results: each user's turn calls respond, the assistant's next turn is its result.
 
-    A call's identifier is the turn's number; its arguments hold the prompt and a reference to the call two turns before."""
-    user = messages.filter("role = 'user' and turn is not null")
+    A call's identifier is the turn's number; its arguments hold the prompt and a reference to the call two turns before. A user's row
+    without a turn is a call without an identifier, which stays unlinked; an assistant's answers no call, so it gives no result."""
+    user = messages.filter("role = 'user'")
     after = F.when(F.col("turn") >= 2, F.concat(F.lit('"after":{"$ref":"'), (F.col("turn") - 2).cast("string"), F.lit('"},'))).otherwise("")
     arguments = F.concat(F.lit("{"), after, F.lit('"prompt":'), F.coalesce(quoted(F.col("text")), F.lit("null")), F.lit("}"))
     calls = user.select("conv_id", F.col("turn").cast("string").alias("call_id"), "turn", F.lit(0).alias("item"), F.lit("respond").alias("name"), arguments.alias("arguments"))

@@ -100,6 +100,14 @@ def test_linking_empty(spark):
     assert [r.record for r in chat.linked(calls, results, chat.RESPOND).collect()] == ['{"arguments":{"prompt":null},"id":"0","name":"respond","result":"say \\"é\\"\\n"}']
 
 
+def test_exchanges_keep_null_turns(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, None, "user", "c"), (1, None, "user", "c"), (1, None, "assistant", "d")]
+    calls, results = chat.exchanges(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    out = [(r.call_id, r.turn, r.is_linked, r.record) for r in chat.linked(calls, results, chat.RESPOND).collect()]
+    lost = (None, None, False, '{"arguments":{"prompt":"c"},"id":null,"name":"respond","result":null}')
+    assert sorted(out, key=repr) == sorted([("0", 0, True, '{"arguments":{"prompt":"a"},"id":"0","name":"respond","result":"b"}'), lost, lost], key=repr)
+
+
 @needs_model
 def test_pipeline(spark, tmp_path):
     rng = random.Random(3)

@@ -28,13 +28,28 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset a temporary one is taken, on a local master only."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop's file system of a path, the path for it, a maker of further paths)."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make(path), make
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that is no longer read."""
+    fs, at, _ = file_system(spark, path)
+    fs.delete(at, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage at a copy in the shared folder, which outlives executors."""
     shared_dir(df.sparkSession)
@@ -75,31 +90,41 @@ def with_texts(docs: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataF
     return docs.join(wanted.hint("shuffle_hash"), key)
 
 
-def with_arrays(df: DataFrame, make, fields: str) -> DataFrame:
-    """df with more columns, made from Arrow batches of its rows; columns of their names are replaced.
+def semi(df: DataFrame, keys: DataFrame, key: str, salts: int = 16) -> DataFrame:
+    """The rows of df whose key is in keys, a stored table with one row a key.
+
+    Keys are broadcast up to the checked bound; beyond it every key stands `salts` times, so that the rows of a hot key are spread."""
+    if keys.count() <= BROADCAST_KEYS:
+        return df.join(F.broadcast(keys), key, "left_semi")
+    spread = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")).join(spread, [key, "_salt"], "left_semi").drop("_salt")
+
+
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema), run being fed slices of BATCH_ROWS rows, as texts can be long; Spark bounds batches by bytes."""
+
+    def sliced(batches):
+        return run(b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS))
+
+    return df.mapInArrow(sliced, schema)
+
+
+def with_arrays(df: DataFrame, make, fields: str, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """df (of its columns those in keep, if given) with more columns, made from Arrow batches of its rows; columns of their names are replaced.
 
     make() runs once a task and returns a function from a batch to a list of Arrow arrays, in the order of fields.
     Batches are kept small, as texts can be long."""
     import pyarrow as pa
 
-    spark = df.sparkSession
     new = T.StructType.fromDDL(fields)
     df = df.drop(*new.names)
-    schema = T.StructType(df.schema.fields + new.fields)
-    names = schema.names
+    kept = [f for f in df.schema.fields if keep is None or f.name in keep]
+    schema = T.StructType(kept + new.fields)
+    names, at = schema.names, [df.columns.index(f.name) for f in kept]
 
     def run(batches):
         of = make()
-        for b in batches:
-            for at in range(0, b.num_rows, BATCH_ROWS):
-                part = b.slice(at, BATCH_ROWS)
-                yield pa.RecordBatch.from_arrays([*part.columns, *of(part)], names=names)
-
-    small_batches(spark)
-    return df.mapInArrow(run, schema)
-
+        for part in batches:
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in at), *of(part)], names=names)
 
-def small_batches(spark: SparkSession) -> None:
-    """Batches for Python hold few rows and bytes, as texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    return arrow_map(df, run, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U64 = np.uint64
@@ -9,28 +11,14 @@ U64 = np.uint64
 CHUNK = 1 << 20
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[65:91] += 32
+#: Words of up to so many bytes are hashed in blocks of eight; longer ones by BLAKE2.
+BLOCKS = 4
+#: Of a block, what belongs to a word with so many bytes left in it.
+INSIDE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _rng = np.random.default_rng(20_240_607)
-BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-FOLDED = BYTES.copy()
-FOLDED[65:91] = BYTES[97:123]
-#: Bases of polynomials modulo 2**64, congruent to 3 modulo 8, so that powers differ in nearly all bits.
-BASES = tuple(int(x) // 8 * 8 + 3 for x in _rng.integers(2**62, 2**63, 3, dtype=np.uint64))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of a base and of its inverse."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        size = max(n, CHUNK + 1)
-        both = []
-        for b in (base, pow(base, -1, 2**64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        if size > 8 * CHUNK:  # not kept: one very long text
-            return both[0], both[1]
-        _powers[base] = both[0], both[1]
-    return _powers[base]
+SEED, BLOCK_FACTOR, LEFT_FACTOR, GOLDEN = (int(x) | 1 for x in _rng.integers(2**62, 2**63, 4, dtype=np.uint64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -64,7 +52,10 @@ def chunks(column):
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words, of each text the index of its first word and one more)."""
+    """(hashes of all words, of each text the index of its first word and one more); fold: as with A-Z in lower case.
+
+    Each block of eight bytes goes through a mix of its own, so that no pattern of bytes cancels out; a word of one block is told from
+    all others of its length."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
@@ -80,24 +71,51 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tu
     after[-1] = True
     inner = offsets[1:]
     after[inner[inner > 0] - 1] = True
-    end = np.flatnonzero(word & after) + 1
-    up, down = powers(BASES[0], n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((FOLDED if fold else BYTES)[data] * up[:n], out=total[1:])
-    h = (total[end] - total[start]) * down[start]
-    return mix(h), np.searchsorted(start, offsets)
-
-
-def sums(h: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums for run_hashes()."""
-    up, down = powers(BASES[base], len(h) + 1)
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    return total, down
-
-
-def run_hashes(total: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the runs of words from start to end, of start's length each."""
-    x = (total[end] - total[start]) * down[start]
-    x += (end - start).astype(np.uint64) * U64(0x9E3779B97F4A7C15)
+    length = np.flatnonzero(word & after) + 1 - start
+    padded = np.zeros(n + 8 * BLOCKS + 8, np.uint8)
+    padded[:n] = FOLDED[data] if fold else data
+    block = np.ndarray((n + 8 * BLOCKS + 1,), "<u8", padded, strides=(1,))
+    h = length.astype(np.uint64) * U64(SEED)
+    for k in range(BLOCKS):
+        at = np.flatnonzero(length > 8 * k) if k else slice(None)
+        x = block[start[at] + 8 * k] & INSIDE[np.minimum(length[at] - 8 * k, 8)]
+        x *= U64(BLOCK_FACTOR)
+        h[at] = mix(h[at] ^ x)
+    for i in np.flatnonzero(length > 8 * BLOCKS).tolist():
+        whole = hashlib.blake2b(padded[start[i] : start[i] + length[i]], digest_size=8)
+        h[i] = U64(int.from_bytes(whole.digest(), "little"))
+    return h, np.searchsorted(start, offsets)
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * U64(LEFT_FACTOR)
+    x += b
     return mix(x)
+
+
+def runs(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of k words from each place on, folded from runs of 1, 2, 4 ... words."""
+    if len(h) < k:
+        return np.zeros(0, np.uint64)
+    out, done, part, size = None, 0, h, 1
+    while size <= k:
+        if k & size:
+            n = len(h) - done - size + 1
+            out = part[:n] if out is None else _pair(out[:n], part[done : done + n])
+            done += size
+        if 2 * size <= k:
+            part = _pair(part[:-size], part[size:])
+        size *= 2
+    return mix(out + U64(k * GOLDEN % 2**64))
+
+
+class Joined:
+    """A text's words, one space between them, with the bytes of any run of them."""
+
+    def __init__(self, words: list[bytes]):
+        self.words, self.bytes = words, memoryview(b" ".join(words))
+        self.at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+
+    def runs(self, start: np.ndarray, end: np.ndarray):
+        """The bytes of the runs from start to end, one after another."""
+        return (self.bytes[a : z - 1] for a, z in zip(self.at[start].tolist(), self.at[end].tolist(), strict=True))

@@ -9,23 +9,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import checkpoint, small_batches, stored, with_arrays, with_texts
+from .common import arrow_map, checkpoint, semi, stored, with_arrays, with_texts
 from .components import components
 
 WORDS, PERCENT = 5, 75
-#: Coordinates that are posted, and how many two documents must share to meet. At the lowest similarity that counts, 0.75, a
-#: pair shares fewer with probability 1.5e-5, at 0.8 with 1e-7.
+#: Coordinates that are posted, and how many collisions make a pair a candidate. At the lowest similarity that counts, 0.75, a
+#: pair has fewer with probability 1.5e-5, at 0.8 with 1e-7.
 COORDINATES, MATCHES = 64, 33
-#: Two filters before a comparison in full. A sketch has four bits of each coordinate; at 0.75 fewer than AGREE agree with
-#: probability 1e-5. Parities tell for each of PARITIES bins whether an odd number of a set's shingles falls there: two sets differ
+#: Collisions of a pair are counted on BITS bits of each coordinate's value: never too few, one too many with probability 5e-4.
+BITS = 16
+LANES = 64 // BITS
+#: Parities tell for each of PARITIES bins whether an odd number of a set's shingles falls there: two sets differ
 #: in at least as many shingles as they have unequal parities, so that filter loses nothing, and is sharp for sets up to that size.
-AGREE, PARITIES = 34, 1024
-SKETCH = [f"s{i}" for i in range(COORDINATES // 16)]
+PARITIES = 1024
+VALUES = [f"v{i}" for i in range(COORDINATES // LANES)]
 ODD = [f"o{i}" for i in range(PARITIES // 64)]
 #: Rounds in which each posting list is compared with one member, before the lists are compared pair by pair.
 ROUNDS = 1
 #: Longer posting lists are cut into blocks, so that no task holds more than a pair of blocks.
 BLOCK = 512
+#: Pairs that are confirmed with one copy of a text; a text of more pairs is copied, so that its pairs are spread.
+TEXT_PAIRS = 500
 
 _rng = np.random.default_rng(7)
 _MASK = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64)
@@ -33,32 +37,31 @@ _MULTIPLIER = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(
 
 
 def shingle_sets(column):
-    """(first row, starts, values): the sorted distinct shingle hashes of each text of an Arrow column, one after another."""
-    for first, data, offsets in K.chunks(column):
+    """(starts, values): the sorted distinct shingle hashes of each text of an Arrow column, one after another."""
+    for _, data, offsets in K.chunks(column):
         h, bounds = K.word_hashes(data, offsets, fold=True)
-        total, down = K.sums(h, 1)
         n = np.diff(bounds)
-        whole = K.run_hashes(total, down, np.arange(max(0, len(h) - WORDS + 1)), np.arange(WORDS, len(h) + 1))
-        short = K.run_hashes(total, down, bounds[:-1], bounds[1:])
-        sets = [np.unique(whole[b : b + k - WORDS + 1]) if k >= WORDS else short[i : i + (k > 0)] for i, (b, k) in enumerate(zip(bounds.tolist(), n.tolist(), strict=False))]
+        whole, short = K.runs(h, WORDS), [K.runs(h, k) for k in range(1, WORDS)]
+        sets = [np.unique(whole[b : b + k - WORDS + 1]) if k >= WORDS else short[k - 1][b : b + 1] if k else whole[:0] for b, k in zip(bounds.tolist(), n.tolist(), strict=False)]
         starts = np.zeros(len(sets) + 1, np.int64)
         np.cumsum([len(s) for s in sets], out=starts[1:])
-        yield first, starts, np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        yield starts, np.concatenate(sets) if sets else np.zeros(0, np.uint64)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """docs with n_shingles, d1 and d2 (a digest of the set) signature (a token for each posted coordinate and its value) and sketch (four bits of every coordinate, then the parities)."""
+    """(doc_id, n_shingles, d1, d2, signature, sketch): d1 and d2 are a digest of the set, signature holds a token for each posted
+    coordinate and its value, sketch BITS bits of every coordinate, then the parities."""
     import pyarrow as pa
 
     def make():
         def of(b):
             out = [[], [], [], [], []]
-            for _, starts, u in shingle_sets(b.column("text")):
+            for starts, u in shingle_sets(b.column("text")):
                 n = np.diff(starts)
                 full = np.flatnonzero(n)
                 at = starts[:-1][full]
                 d = np.zeros((2, len(n)), np.uint64)
-                tokens, sketch = np.zeros((len(n), COORDINATES), np.uint64), np.zeros((len(n), len(SKETCH + ODD)), np.uint64)
+                tokens, sketch = np.zeros((len(n), COORDINATES), np.uint64), np.zeros((len(n), len(VALUES + ODD)), np.uint64)
                 if len(full):
                     for i in (0, 1):
                         d[i, full] = np.add.reduceat(K.mix(u ^ _MASK[i]), at)
@@ -68,33 +71,44 @@ def signatures(docs: DataFrame) -> DataFrame:
                         np.multiply(tmp, _MULTIPLIER[i], out=tmp)
                         token = K.mix(np.minimum.reduceat(tmp, at) + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64))
                         tokens[full, i] = token
-                        sketch[full, i // 16] |= (token >> np.uint64(60)) << np.uint64(i % 16 * 4)
+                        sketch[full, i // LANES] |= (token >> np.uint64(64 - BITS)) << np.uint64(i % LANES * BITS)
                     bins = (u >> np.uint64(54)).astype(np.int64) + np.repeat(np.arange(len(n)), n) * PARITIES
                     odd = np.bincount(bins, minlength=len(n) * PARITIES).astype(np.uint8) & 1
-                    sketch[:, len(SKETCH) :] = np.packbits(odd, bitorder="little").view(np.uint64).reshape(len(n), -1)
+                    sketch[:, len(VALUES) :] = np.packbits(odd, bitorder="little").view(np.uint64).reshape(len(n), -1)
                 for x, y in zip(out, (n, K.signed(d[0]), K.signed(d[1]), K.signed(tokens.reshape(-1)), K.signed(sketch.reshape(-1))), strict=True):
                     x.append(y)
             n, d1, d2, tokens, sketch = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
             fixed = lambda x, k: pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * k), pa.array(x))
-            return [pa.array(n), pa.array(d1), pa.array(d2), fixed(tokens, COORDINATES), fixed(sketch, len(SKETCH + ODD))]
+            return [pa.array(n), pa.array(d1), pa.array(d2), fixed(tokens, COORDINATES), fixed(sketch, len(VALUES + ODD))]
 
         return of
 
-    return with_arrays(docs, make, "n_shingles long, d1 long, d2 long, signature array<long>, sketch array<long>")
+    return with_arrays(docs.select("doc_id", "text"), make, "n_shingles long, d1 long, d2 long, signature array<long>, sketch array<long>", ("doc_id",))
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """(node, shingles) from (doc_id, text)."""
+def shingles(text: str) -> set:
+    """The shingles of a text themselves."""
+    w = text.encode().lower().split()
+    return set(zip(*(w[i:] for i in range(WORDS)), strict=False)) if len(w) >= WORDS else {tuple(w)} if w else set()
+
+
+def similar(pairs: DataFrame) -> DataFrame:
+    """(a, b) of those rows (a, b, x, y) whose texts x and y have sets similar enough, by the words themselves."""
     import pyarrow as pa
 
     def run(batches):
-        for b in batches:
-            ids = b.column("doc_id")
-            for first, starts, u in shingle_sets(b.column("text")):
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(starts) - 1), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(K.signed(u)))], names=["node", "shingles"])
+        last, known = None, set()
+        for part in batches:
+            keep = []
+            for b, x, y in zip(*(part.column(c).to_pylist() for c in ("b", "x", "y")), strict=True):
+                if (b, y) != last:
+                    last, known = (b, y), shingles(y)
+                own = shingles(x)
+                k = len(own & known)
+                keep.append(k > 0 and 100 * k >= PERCENT * (len(own) + len(known) - k))
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, "node long, shingles array<long>")
+    return arrow_map(pairs.select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def postings(reps: DataFrame) -> DataFrame:
@@ -116,37 +130,43 @@ def _alike(n: str, m: str) -> Column:
 
 
 def _agree(a: str, b: str) -> Column:
-    """Whether the parities and sketches of two sets allow the similarity; columns have the suffixes a and b."""
+    """Whether two sets have MATCHES collisions, and parities that allow the similarity; columns have the suffixes a and b."""
     unequal = lambda s: F.col(f"{s}{a}").bitwiseXOR(F.col(f"{s}{b}"))
     total = lambda xs: reduce(lambda x, y: x + y, xs)
 
-    def differ(x: Column) -> Column:
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+    def apart(x: Column) -> Column:  # lanes that aren't equal: each one's bits are folded into its lowest
+        k = BITS // 2
+        while k:
+            x, k = x.bitwiseOR(F.shiftrightunsigned(x, k)), k // 2
+        return F.bit_count(x.bitwiseAND(F.lit(sum(1 << BITS * i for i in range(LANES)))))
 
-    apart = total([F.bit_count(unequal(s)) for s in ODD])
     most = (F.col(f"n{a}") + F.col(f"n{b}")) * (100 - PERCENT) / (100 + PERCENT)
-    return (apart <= most) & (total([differ(unequal(s)) for s in SKETCH]) <= COORDINATES - AGREE)
+    return (total([F.bit_count(unequal(s)) for s in ODD]) <= most) & (total([apart(unequal(s)) for s in VALUES]) <= COORDINATES - MATCHES)
 
 
 def _side(p: DataFrame, s: str, but: tuple = ()) -> DataFrame:
     return p.select(*[F.col(c).alias(c if c in but else f"{c}{s}") for c in p.columns])
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = stored(full_sets(with_texts(docs.select("doc_id", "text"), checkpoint(nodes)).select("doc_id", "text")))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    both = both.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("k"))
-    return checkpoint(both.filter(f"100 * k >= {PERCENT} * (n + m - k)").select("a", "b").distinct())
+def verified(pairs: DataFrame, who: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose documents' texts have sets similar enough. who: node and its doc_id.
+
+    A text stands once for TEXT_PAIRS of its pairs, so that neither side gathers a common one's pairs in one task."""
+    nodes = checkpoint(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).groupBy("node").agg(F.ceil(F.count("*") / TEXT_PAIRS).cast("int").alias("copies")))
+    wanted = checkpoint(nodes.join(who, "node"))
+    texts = with_texts(docs, checkpoint(wanted.select("doc_id").distinct())).dropDuplicates(["doc_id", "text"]).join(wanted, "doc_id").select("node", "copies", "text")
+    texts = stored(texts.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies"))
+    both = pairs.join(nodes.select(F.col("node").alias("a"), F.col("copies").alias("n")), "a").join(nodes.select(F.col("node").alias("b"), F.col("copies").alias("m")), "b")
+    both = both.select("a", "b", F.pmod(F.xxhash64("b"), "n").cast("int").alias("i"), F.pmod(F.xxhash64("a"), "m").cast("int").alias("j"))
+    both = both.join(texts.select(F.col("node").alias("a"), F.col("copy").alias("i"), F.col("text").alias("x")), ["a", "i"])
+    both = both.join(texts.select(F.col("node").alias("b"), F.col("copy").alias("j"), F.col("text").alias("y")), ["b", "j"])
+    return checkpoint(similar(both).distinct())
 
 
-def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
+def links(reps: DataFrame, who: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) between nodes that leave the same components as all links would."""
     p = stored(postings(reps))
-    facts = reps.join(p.select("node"), "node", "left_semi").groupBy("node").agg(F.min("n").alias("n"), *[F.min(F.get("sketch", F.lit(i))).alias(s) for i, s in enumerate(SKETCH + ODD)])
-    facts = stored(facts)
+    facts = stored(reps.join(p.select("node"), "node", "left_semi").select("node", "n", *[F.get("sketch", F.lit(i)).alias(s) for i, s in enumerate(VALUES + ODD)]))
     spark = p.sparkSession
     found, label = [], spark.createDataFrame([], "node long, component long")
     with_label = lambda df: df.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -158,7 +178,7 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
         hubs = hubs.join(_side(with_label(p.select("node")), "_hub"), F.col("hub") == F.col("node_hub")).select("token", "hub", "component_hub")
         pairs = rows.join(hubs, "token").filter("component <> component_hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         pairs = pairs.join(_side(facts, "_a").withColumnRenamed("node_a", "a"), "a").join(_side(facts, "_b").withColumnRenamed("node_b", "b"), "b")
-        new = verified(checkpoint(pairs.filter(_alike("n_a", "n_b") & _agree("_a", "_b")).select("a", "b")), docs)
+        new = verified(checkpoint(pairs.filter(_alike("n_a", "n_b") & _agree("_a", "_b")).select("a", "b")), who, docs)
         if new.isEmpty():
             break
         found.append(new)
@@ -175,7 +195,7 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
         (F.col("node_a") < F.col("node_b")) & (F.col("inner_a") | (F.col("own_a") != F.col("own_b"))) & (F.col("component_a") != F.col("component_b")) & _alike("n_a", "n_b")
         & _agree("_a", "_b") & (F.get(F.array_intersect("prefix_a", "prefix_b"), F.lit(0)) == F.col("place_a"))
     )
-    found.append(verified(checkpoint(meet.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()), docs))
+    found.append(verified(checkpoint(meet.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()), who, docs))
     return reduce(DataFrame.union, found)
 
 
@@ -188,12 +208,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shingles and links with nothing, a null doc_id likewise: it is its own component. Rows that repeat a doc_id are one document:
     what either links with, both do. kept marks doc_id = component_id (null with null counts as equal)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sig = stored(signatures(docs).drop("text"))
+    sig = stored(signatures(docs).withColumn("row", F.monotonically_increasing_id()))
     usable = sig.filter("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
-    reps = usable.select(F.col("doc_id").alias("node"), "d1", "d2", F.col("n_shingles").alias("n"), "signature", "sketch").join(classes, ["node", "d1", "d2"], "left_semi").select("node", "n", "signature", "sketch")
-    label = components(links(reps, docs))
-    byclass = classes.join(label, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
+    # a class is all rows of one set; its node is the number of a row with its smallest doc_id
+    classes = usable.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("x")).select("d1", "d2", F.col("x.row").alias("node"), F.col("x.doc_id").alias("doc_id"))
+    classes = stored(classes)
+    who = classes.select("node", "doc_id")
+    reps = usable.select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "signature", "sketch").join(classes.select("node"), "node", "left_semi")
+    again = checkpoint(usable.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id"))
+    ties = semi(usable.select("doc_id", "d1", "d2"), again, "doc_id").join(classes.select("d1", "d2", "node"), ["d1", "d2"]).select("doc_id", "node").distinct()
+    ties = ties.join(ties.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b"))
+    label = components(links(reps, who, docs).union(ties)).join(who, "node")
+    label = label.join(label.groupBy("component").agg(F.min("doc_id").alias("least")), "component").select("node", "least")
+    byclass = classes.join(label, "node", "left").select("d1", "d2", F.coalesce("least", "doc_id").alias("component"))
     rest = sig.filter("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = usable.select("doc_id", "n_shingles", "d1", "d2").join(byclass, ["d1", "d2"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     return out.union(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from .quality import BOILERPLATE, SEPARATORS, Rules
+from .queries import SHARDS
+from .sharding import SLOTS, lookup_table
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP2 = rf"""
@@ -54,19 +58,40 @@ SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(lost.n, 0) AS
 FROM t LEFT JOIN lost ON t.doc_id = lost.doc_id LEFT JOIN kept ON t.doc_id = kept.doc_id
 """
 
-#: All that the contract fixes of op3; the method's own verdict is tested against a plain version in Python.
-OP3_BASE = r"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+_R = Rules()
+_PHRASES = "|".join(BOILERPLATE)
+OP3 = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8)),
 twice AS (SELECT doc_id, s FROM win GROUP BY doc_id, s HAVING count(*) > 1),
 cov AS (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS p FROM win JOIN twice USING (doc_id, s)),
 rep AS (SELECT doc_id, count(*) AS n FROM cov GROUP BY doc_id),
-b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
-  CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
-  CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM t LEFT JOIN rep USING (doc_id))
-SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b
+lines AS (SELECT doc_id, line, {WORDS.replace("coalesce(text, '')", "line")} AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)),
+n_lines AS (SELECT doc_id, count(*) AS n, count(DISTINCT line) AS k FROM lines WHERE len(w) > 0 GROUP BY doc_id),
+first AS (SELECT DISTINCT doc_id, line, w FROM lines WHERE len(w) > 0),
+judged AS (SELECT doc_id, length(array_to_string(w, '')) AS chars,
+    len(regexp_extract_all(line, '[#*$%&<>]')) > len(w) * {_R.max_symbols}
+    OR len(regexp_extract_all(line, '!')) > greatest(1.0, len(w) * {_R.max_shouts})
+    OR (n > 1 AND len(w) < {_R.min_open_words} AND NOT regexp_matches(line, '[.!?:;,…。！？"''”’)\]][\x20\x09-\x0D]*$'))
+    OR (len(regexp_extract_all(line, '[{SEPARATORS}]')) >= greatest(2, len(w) * {_R.max_separators}))
+    OR (len(w) >= 10 AND len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) >= len(w) * {_R.max_stutter})
+    OR (regexp_matches(lower(line), '{_PHRASES}') AND (len(w) <= {_R.short_line} OR length(lower(line)) - length(regexp_replace(lower(line), '{_PHRASES}', '', 'g')) >= length(lower(line)) * {_R.min_phrases})) AS fails
+  FROM first JOIN n_lines USING (doc_id)),
+good AS (SELECT doc_id, count(*) AS n, sum(chars) AS chars FROM judged WHERE NOT fails GROUP BY doc_id),
+b AS (SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(l.n - l.k, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(l.n, 0) - coalesce(good.n, 0) AS BIGINT) AS lines_dropped, CAST(coalesce(good.chars, 0) AS BIGINT) AS kept_chars
+  FROM t LEFT JOIN rep USING (doc_id) LEFT JOIN n_lines l USING (doc_id) LEFT JOIN good USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND kept_chars >= word_chars * {_R.min_kept} AS kept FROM b
+"""
+
+#: The lookup table stands in the SQL as its rule gives it (held against a plain version in the tests); SQL finds each row's slot in it.
+OP5 = """
+WITH o AS (SELECT [{owners}] AS owner),
+s AS (SELECT doc_id, n_chars, CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) % {slots} AS BIGINT) AS slot FROM documents)
+SELECT doc_id, n_chars, slot, 'shard-' || lpad(CAST(owner[slot + 1] AS VARCHAR), 3, '0') AS shard FROM s, o
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": OP2, "op4_chat": OP4, "op6_substring": OP6, "op7_neardup": OP7}
+    op5 = OP5.format(owners=",".join(map(str, lookup_table(SHARDS))), slots=SLOTS)
+    return {"op2_mix": OP2, "op3_quality": OP3, "op5_sharding": op5, "op4_chat": OP4, "op6_substring": OP6, "op7_neardup": OP7}

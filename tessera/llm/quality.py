@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WS, let, words
+from .common import let, words
 
 #: Document rules (fixed values of the contract).
 MIN_WORDS, WINDOW, MAX_REPEATED_PERCENT = 20, 8, 30
@@ -32,8 +32,11 @@ class Rules:
     min_open_words: int = 3  # a line with no end mark and fewer words fails, if it isn't the only one
     #: Navigation: separators a word, from two separators on.
     max_separators: float = 0.2
-    #: Words that equal the word before them, as a share, in lines of ten words or more of texts with a word three times in a row.
+    #: Words that equal the word before them, as a share, in lines of ten words or more.
     max_stutter: float = 0.3
+    #: Boilerplate: phrases make up at least this share of a line's characters, or stand in a line of so few words.
+    min_phrases: float = 0.15
+    short_line: int = 8
     #: A document goes that keeps less than this share of its word characters.
     min_kept: float = 0.6
 
@@ -72,27 +75,33 @@ def _repeated_words(w: Column) -> Column:
 
 
 def _gates(text: Column) -> Column:
-    """Which rules can fail at all in a text: cheap tests that spare most lines the costly ones."""
+    """Cheap tests of what a rule needs somewhere in the text to fail any line: they spare most lines the costly rules and change no verdict."""
     low = F.lower(text)
     some = lambda t, xs: reduce(lambda a, b: a | b, [F.contains(t, F.lit(x)) for x in xs])
-    ws, word = WS[:-1], WORD[:-1]
-    return let(_count(text, SYMBOLS), lambda n: F.struct(
-        n.alias("n_symbols"), (n > 0).alias("symbols"), F.contains(text, F.lit("!!")).alias("shouts"), ((n > 0) | some(text, SEPARATORS[1:])).alias("separators"),
-        some(low, BOILERPLATE).alias("boilerplate"), text.rlike(f"(?:^|{ws})({word}++){ws}++\\1{ws}++\\1(?!{word})").alias("stutter"),
-    ))
+    return let(_count(text, SYMBOLS), lambda n: F.struct(n.alias("n_symbols"), (n > 0).alias("symbols"), ((n > 0) | some(text, SEPARATORS[1:])).alias("separators"), some(low, BOILERPLATE).alias("boilerplate")))
 
 
-def _fails(line: Column, n: Column, alone: Column, gate: Column, r: Rules) -> Column:
-    """Whether a line of n words breaks a rule."""
-    ws, word = WS[:-1], WORD[:-1]
-    stutter = F.regexp_count(line, F.lit(f"(?<!{word})({word}++){ws}++(?=\\1(?!{word}))"))
+def _stutter(w: Column) -> Column:
+    """Words that equal the word before them."""
+    return F.size(F.filter(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: a == b), lambda same: same))
+
+
+def _fails(line: Column, w: Column, alone: Column, gate: Column, r: Rules) -> Column:
+    """Whether a line of words w breaks a rule."""
+    n = F.size(w)
+    phrases = "|".join(BOILERPLATE)
+
+    def boilerplate(low: Column) -> Column:
+        found = F.char_length(low) - F.char_length(F.regexp_replace(low, phrases, ""))
+        return (found > 0) & ((n <= r.short_line) | (found >= F.char_length(low) * r.min_phrases))
+
     return (
         (gate["symbols"] & (_count(line, r"[^#*$%&<>]+") > n * r.max_symbols))
-        | (gate["shouts"] & (_count(line, "[^!]+") > F.greatest(F.lit(1.0), n * r.max_shouts)))
-        | (~alone & (n < r.min_open_words) & ~line.rlike(r"[.!?:;,…。！？\"'”’)\]][\x20\x09-\x0D]*$"))
+        | (F.contains(line, F.lit("!")) & (_count(line, "[^!]+") > F.greatest(F.lit(1.0), n * r.max_shouts)))
+        | (~alone & (n < r.min_open_words) & ~line.rlike(r"[.!?:;,…。！？\"'”’)\]][\x20\x09-\x0D]*\z"))
         | (gate["separators"] & let(_count(line, f"[^{SEPARATORS}]+"), lambda k: (k >= 2) & (k >= n * r.max_separators)))
-        | (gate["stutter"] & (n >= 10) & (stutter >= n * r.max_stutter))
-        | (gate["boilerplate"] & F.lower(line).rlike("|".join(BOILERPLATE)))
+        | ((n >= 10) & (_stutter(w) >= n * r.max_stutter))
+        | (gate["boilerplate"] & let(F.lower(line), boilerplate))
     )
 
 
@@ -121,7 +130,7 @@ def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
         def result(first: Column) -> Column:
             alone = F.size(full) == 1
-            good = F.filter(first, lambda x: ~_fails(x["line"], F.size(x["w"]), alone, gate, rules))
+            good = F.filter(first, lambda x: ~_fails(x["line"], x["w"], alone, gate, rules))
             every = F.flatten(F.transform(full, lambda x: x["w"]))
             return let(good, lambda g: F.struct(
                 total(F.transform(full, lambda x: F.struct(F.size(x["w"]).alias("n"))), "n").cast("long").alias("n_words"), total(full, "chars").cast("long").alias("word_chars"), (F.size(full) - F.size(first)).cast("long").alias("n_dup_lines"),
@@ -133,7 +142,8 @@ def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
     lines = let(single, lambda one: F.filter(F.transform(F.split(text, "\n"), lambda x: parsed(x, one)), lambda x: F.size(x["w"]) > 0))
     found = let(F.struct(lines.alias("full"), _gates(text).alias("gate")), lambda p: judged(p["full"], p["gate"]))
-    df = docs.select(*own, found.alias("_r"))
+    # one generated row, which no filter on the verdict is pushed through: else each text would be judged again for the filter
+    df = docs.select(*own, F.explode(F.array(found)).alias("_r"))
     r = F.col("_r")
     n, repeat = r["n_words"], r["n_repeat_words"]
     base = (n < MIN_WORDS) | (repeat * 100 > n * MAX_REPEATED_PERCENT)

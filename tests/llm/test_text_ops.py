@@ -124,20 +124,19 @@ def plain_repeats(w):
     return len({p for at in seen.values() if len(at) > 1 for i in at for p in range(i, i + 8)})
 
 
-def plain_fails(line, alone, text):
+def plain_fails(line, alone):
     w, r = WORD.findall(line), quality.Rules()
-    n = len(w)
+    n, low = len(w), line.lower()
     marks = sum(line.count(c) for c in quality.SEPARATORS)
     stutter = sum(a == b for a, b in zip(w, w[1:]))
-    every = WORD.findall(text)
-    thrice = any(a == b == c for a, b, c in zip(every, every[1:], every[2:]))
+    phrases = sum(len(m) for m in re.findall("|".join(quality.BOILERPLATE), low))
     return (
         sum(line.count(c) for c in "#*$%&<>") > n * r.max_symbols
-        or ("!!" in text and line.count("!") > max(1.0, n * r.max_shouts))
-        or (not alone and n < r.min_open_words and not re.search(r"[.!?:;,…。！？\"'”’)\]]\s*$", line))
+        or line.count("!") > max(1.0, n * r.max_shouts)
+        or (not alone and n < r.min_open_words and not re.search(r"[.!?:;,…。！？\"'”’)\]][\x20\x09-\x0D]*$", line))
         or (marks >= 2 and marks >= n * r.max_separators)
-        or (thrice and n >= 10 and stutter >= n * r.max_stutter)
-        or any(p in line.lower() for p in quality.BOILERPLATE)
+        or (n >= 10 and stutter >= n * r.max_stutter)
+        or (phrases > 0 and (n <= r.short_line or phrases >= len(low) * r.min_phrases))
     )
 
 
@@ -145,7 +144,7 @@ def plain_clean(text):
     text = text or ""
     w, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
     first = list(dict.fromkeys(lines))
-    good = [x for x in first if not plain_fails(x, len(lines) == 1, text)]
+    good = [x for x in first if not plain_fails(x, len(lines) == 1)]
     base = len(w) < 20 or 100 * plain_repeats(w) > 30 * len(w)
     chars, kept = sum(map(len, w)), sum(len(x) for line in good for x in WORD.findall(line))
     return (len(w), chars, sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(first), plain_repeats(w), base, len(lines) - len(good), kept, not base and kept >= chars * quality.Rules().min_kept, "\n".join(good))
@@ -154,7 +153,7 @@ def plain_clean(text):
 def test_quality(spark, docs, edge, empty):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(40)]
-    bits = ["Home | About | Contact | Login", "All Rights Reserved.", "x# y$ z%", "GO!! NOW!! YES!!", "tail", "a a a a a a b b b b b b c c c", "\twide  gap \x0b.", ""]
+    bits = ["Home | About | Contact | Login", "All Rights Reserved.", "x# y$ z%", "GO!! NOW!! YES!!", "Buy! Now! Yes! Go!", "a a b b c c d d e e f f.", "we bake cookies in a large oven for all of our friends and neighbours at home", "tail", "a a a a a a b b b b b b c c c", "\twide  gap \x0b.", ""]
     texts = ["\n".join(" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 25))) + rng.choice([".", ""]) if rng.random() < 0.7 else rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(300)]
     texts += ["one two three four five six seven eight " * 5, ("abc " * 9 + "\n") * 4, "q r s t u v w x y " * 3]
     rows = [(i, t) for i, t in enumerate(texts)] + EDGE

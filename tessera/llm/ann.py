@@ -15,8 +15,8 @@ from .common import stored
 
 #: Vectors in a shard on average; links of a node (twice as many on the ground level); candidates kept when building and searching.
 SHARD_ROWS, LINKS, BUILD_EF, SEARCH_EF = 4096, 12, 48, 160
-#: Queries that one task takes through one shard.
-QUERY_BLOCK = 1024
+#: Queries that one task takes through one shard, on average; a graph is sent once to each block of queries.
+QUERY_BLOCK = 16_384
 GRAPH = "dim int, shard int, n int, vectors binary, first binary, members binary, levels binary, links binary, entry int"
 
 
@@ -137,11 +137,10 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & ~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda x: x != 0)
 
 
-def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """The graphs, one row a shard, from (vec_id, embedding array<double>). Shards hold rows by a hash of vec_id and are bounded
-    on average by shard_rows, whatever values are common: equal vectors of a shard are one node with several members."""
-    n = vectors.count()
-    shards = max(1, math.ceil(n / shard_rows))
+def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
+    """(the graphs, one row a shard, from (vec_id, embedding array<double>); the number of shards). Shards hold rows by a hash of vec_id and are
+    bounded on average by shard_rows, whatever values are common: equal vectors of a shard are one node with several members."""
+    shards = max(1, math.ceil(vectors.count() / shard_rows))
     rows = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("dim", F.size("embedding"))
 
     def graph(pdf):
@@ -160,7 +159,7 @@ def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         g = build(distinct)
         return pd.DataFrame([(int(pdf["dim"].iloc[0]), int(pdf["shard"].iloc[0]), len(distinct), g.vectors.tobytes(), first.tobytes(), members.tobytes(), g.top.tobytes(), b"".join(t.tobytes() for t in g.links), g.entry)], columns=[c.split()[0] for c in GRAPH.split(", ")])
 
-    return stored(rows.repartition(4 * shards, "shard", "dim").groupBy("dim", "shard").applyInPandas(graph, GRAPH))
+    return stored(rows.repartition(4 * shards, "shard", "dim").groupBy("dim", "shard").applyInPandas(graph, GRAPH)), shards
 
 
 def _restored(r) -> tuple[Graph, np.ndarray, np.ndarray]:
@@ -173,28 +172,32 @@ def _restored(r) -> tuple[Graph, np.ndarray, np.ndarray]:
     return Graph(np.frombuffer(r.vectors, np.float64).reshape(r.n, r.dim), links, top, r.entry), np.frombuffer(r.first, np.int64), np.frombuffer(r.members, np.int64)
 
 
-def search(graphs: DataFrame, queries: DataFrame, k: int = 10, ef: int = SEARCH_EF) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k nearest found, from (vec_id, embedding) queries. Each shard answers each block of queries."""
-    blocks = queries.withColumn("dim", F.size("embedding")).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(max(1, math.ceil(queries.count() / QUERY_BLOCK)))))
-    blocks = blocks.groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
+def search(graphs: DataFrame, shards: int, queries: DataFrame, k: int = 10, ef: int = SEARCH_EF) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k nearest found, from (vec_id, embedding) queries.
 
-    def run(batches):
+    Queries, far fewer than rows, fan out to all shards and meet each shard's graph there, in blocks; a graph is read once a block. Each shard
+    gives its k nearest for a query, and those are merged."""
+    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    fan = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    asked = queries.select("vec_id", "embedding", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int").alias("block"), fan(shards, "shard"))
+    graphs = graphs.select("*", fan(blocks, "block"))
+
+    def run(of_shard, of_queries):
         import pandas as pd
 
-        for pdf in batches:
-            for r in pdf.itertuples():
-                g, first, members = _restored(r)
-                out = []
-                for q in r.queries:
-                    v = np.asarray(q["embedding"], np.float64)
-                    nodes = np.array(g.search(v, max(ef, k + 1)))
-                    exact = np.sqrt(((g.vectors[nodes] - v) ** 2).sum(1))
-                    rows = [(d, int(m)) for d, i in zip(exact.tolist(), nodes.tolist(), strict=True) for m in members[first[i] : first[i + 1]][: k + 1] if m != q["vec_id"]]
-                    out += [(q["vec_id"], m, d) for d, m in heapq.nsmallest(k, rows)]
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    pairs = blocks.join(graphs, "dim")  # a row for each block and shard
-    found = pairs.repartition(F.col("block"), F.col("shard")).mapInPandas(run, "query_id long, vec_id long, score double")
+        out = []
+        for r in of_shard.itertuples():  # one, or none where a shard holds no vector of this dimension
+            g, first, members = _restored(r)
+            for q, v in zip(of_queries["vec_id"].tolist(), of_queries["embedding"], strict=True):
+                v = np.asarray(v, np.float64)
+                nodes = np.array(g.search(v, max(ef, k + 1)))
+                exact = np.sqrt(((g.vectors[nodes] - v) ** 2).sum(1))
+                rows = [(d, int(m)) for d, i in zip(exact.tolist(), nodes.tolist(), strict=True) for m in members[first[i] : first[i + 1]][: k + 1] if m != q]
+                out += [(q, m, d) for d, m in heapq.nsmallest(k, rows)]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    keys, parts = ("shard", "block", "dim"), 4 * shards * blocks
+    found = graphs.repartition(parts, *keys).groupBy(*keys).cogroup(asked.repartition(parts, *keys).groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double")
     best = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
 
@@ -208,4 +211,4 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 10, shard_rows: in
     smaller vec_id. An empty table gives an empty result."""
     v = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     v = stored(v.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).dropDuplicates(["vec_id", "embedding"]))
-    return search(index(v, shard_rows), v.filter(is_query), k)
+    return search(*index(v, shard_rows), v.filter(is_query), k)

@@ -45,6 +45,24 @@ def test_nearest(spark):
     assert [(v, s) for _, v, s in found[0]] == [(3 * k, 0.0) for k in range(1, 11)]  # ties go to the smaller vec_id
 
 
+def test_recall_over_many_shards(spark, monkeypatch):
+    """Vectors without any structure, over 12 shards and several blocks of queries; the graphs aren't gathered by dimension."""
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 20)
+    x = np.random.default_rng(2).normal(size=(6000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = ann.nearest(df, F.col("vec_id") % 100 == 0, shard_rows=500)
+    found = {}
+    for r in out.collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q, f in found.items():
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(f & set(np.argsort(d)[:10].tolist()))
+    assert len(found) == 60 and hits >= 0.95 * 600
+    assert "hashpartitioning(dim" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0, 1.0]), (100, [3.0, 0.0])], "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.nearest(df, F.col("vec_id") % 100 == 0).collect())

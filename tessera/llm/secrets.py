@@ -1,4 +1,4 @@
-"""Secret scans: base patterns, and a lexer of assignments that follows constants to sensitive names."""
+"""Secret scans: base patterns, and a lexer of assignments that folds values and follows constants to sensitive names."""
 
 from __future__ import annotations
 
@@ -28,15 +28,23 @@ HARMLESS = frozenset("count length len size limit max min type name field label
 PLACEHOLDERS = frozenset("changeme change_me password secret token example placeholder undefined none null true false redacted your_password your_token".split())
 NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
-#: name, operator, then the first term of the value; names and quoted strings as source and configuration write them.
-TARGET = re.compile(r"""(?<![A-Za-z0-9_.\-])(["']?)([A-Za-z_][A-Za-z0-9_.\-]*+)\1[\x20\t]*(?::[\x20\t]*(?:str|string|String)[\x20\t]*=|:=|=>|=(?![=>])|:(?![:/]))[\x20\t]*""")
+#: What leads to a value: a name and an operator, as source and configuration write them, or an element's tag.
+TARGET = re.compile(
+    r"""(?<![A-Za-z0-9_.\-])(["']?)([A-Za-z_][A-Za-z0-9_.\-]*+)\1[\x20\t]*(?::[\x20\t]*(?:str|string|String)[\x20\t]*=|:=|=>|=(?![=>])|:(?![:/]))[\x20\t]*"""
+    r"""|<([A-Za-z_][A-Za-z0-9_.\-]*+)(?:\x20[^<>\n]*+)?(?<!/)>"""
+)
 TERM = re.compile(
     r"""[bBrRuUfF]{0,2}(?:"{3}([^"\\]*+(?:(?:\\.|"(?!""))[^"\\]*+)*+)"{3}|'{3}([^'\\]*+(?:(?:\\.|'(?!''))[^'\\]*+)*+)'{3}"""
     r"""|"([^"\\]*+(?:\\.[^"\\]*+)*+)"|'([^'\\]*+(?:\\.[^'\\]*+)*+)'|`([^`]*+)`)|([A-Za-z0-9+/_.=\-]++)""",
     re.S,
 )
 TRIPLE, BARE = 2, 6  # groups of TERM: up to the one, after the quoted ones
-JOIN = re.compile(r"[\x20\t]*[+.][\x20\t]*(?=[\"'`A-Za-z_])")
+#: What joins terms: an operator, or nothing between quoted strings, which a backslash may break into lines.
+JOIN = re.compile(r"[\x20\t]*(?:[+&.]|\.\.)[\x20\t]*(?=[\"'`A-Za-z_])")
+ADJACENT = re.compile(r"[\x20\t]*(?:\\\n[\x20\t]*)?(?=[\"'])")
+#: A block scalar: its mark behind the operator, then lines deeper than the name's own.
+BLOCK = re.compile(r"[|>][0-9+\-]{0,2}[\x20\t]*\n((?:[\x20\t]*\n)*+)([\x20]++)")
+ELEMENT = re.compile(r"[\x20\t\n]*([^<>]*?)[\x20\t\n]*</")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*+\Z")
 ARMOUR = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]+-----")
 
@@ -77,59 +85,116 @@ def literal_score(value: str) -> int:
     return (entropy >= 2.5) + (entropy >= 3.2) + (kinds >= 2)
 
 
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int, str]:
+    """A span without the white space around it."""
+    value = text[a:b]
+    a += len(value) - len(value.lstrip())
+    value = value.strip()
+    return a, a + len(value), value
+
+
+def _block(text: str, name: int, m: re.Match) -> tuple[int, int]:
+    """The lines of a block scalar: those as deep as its first one, which must be deeper than the name's own line."""
+    depth, line = len(m[2]), text.rfind("\n", 0, name) + 1
+    own = len(text[line:name]) - len(text[line:name].lstrip(" "))
+    at = end = m.start(2)
+    while depth > own and at < len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        if text.startswith(" " * depth, at):
+            end = stop
+        elif text[at:stop].strip():
+            break
+        at = stop + 1
+    return m.start(2), end
+
+
 def assignments(text: str):
-    """(name, literals, bare) of each assignment: quoted literals and unquoted terms, as spans with their values.
+    """(name, terms) of each assignment; terms are those that make up its value, joined by operators or adjacent as strings: (start, end,
+    value, whether it is bare), all terms of one value in a row. Quoted strings, block scalars and the text of elements are literals.
 
-    Strings of several lines or in triple quotes are taken without the white space around them; what they hold is searched for assignments too."""
-    at = 0
+    Strings of several lines or in triple quotes are taken without the white space around them; what they hold is searched for assignments
+    too, whose values are single terms."""
+    at = horizon = 0  # up to the horizon terms have been joined already
     while m := TARGET.search(text, at):
-        where, inside, literals, bare = m.end(), None, [], []
-        at = where
-        while t := TERM.match(text, where):
-            k, at = t.lastindex, t.end()
-            a, b, value = t.start(k), t.end(k), t[k]
-            if k == BARE:
-                bare.append((a, b, value))
-            else:
-                if k <= TRIPLE or "\n" in value:
+        where = at = m.end()
+        joins = m.start() >= horizon
+        inside, terms = None, []
+        if m[3]:
+            inside = m.end(3)  # attributes are assignments
+            if (e := ELEMENT.match(text, where)) and e[1]:
+                terms = [(*_trimmed(text, e.start(1), e.end(1)), False)]
+        elif k := BLOCK.match(text, where):
+            a, b = _block(text, m.start(), k)
+            if a < b:
+                terms, inside = [(*_trimmed(text, a, b), False)], a
+        else:
+            while t := TERM.match(text, where):
+                k, at = t.lastindex, t.end()
+                a, b, value = t.start(k), t.end(k), t[k]
+                if k != BARE and (k <= TRIPLE or "\n" in value):
                     inside = a if inside is None else inside
-                    a += len(value) - len(value.lstrip())
-                    value = value.strip()
-                literals.append((a, a + len(value), value))
-            j = JOIN.match(text, at)
-            if not j:
-                break
-            where = j.end()
+                    a, b, value = _trimmed(text, a, b)
+                terms.append((a, b, value, k == BARE))
+                j = joins and (JOIN.match(text, at) or k != BARE and ADJACENT.match(text, at))
+                if not j:
+                    break
+                where = j.end()
+        horizon = max(horizon, at)
         at = at if inside is None else inside
-        if literals or bare:
-            yield m[2], literals, bare
+        if terms:
+            yield m[2] or m[3], terms
 
 
 def literal_spans(text: str, threshold: int = 4) -> list[tuple[str, int, int]]:
     """Literals that reach a sensitive name, directly or by names that hold them, with a high enough joint score.
 
-    An unquoted term is a reference if the text assigns its name; other names without digits are no literals."""
-    if "=" not in text and ":" not in text:
+    An unquoted term is a reference if the text assigns its name; other names without digits are no literals. A value of several
+    terms is folded, references replaced by the values first assigned to them, and scored as a whole: if it is a secret so are all literals in it."""
+    if "=" not in text and ":" not in text and "</" not in text:
         return []
-    literals, holds, score = defaultdict(list), defaultdict(set), {}
     found = list(assignments(text))
-    names = {name for name, _, _ in found}
-    for name, own, bare in found:
-        literals[name] += own
-        for x in bare:
-            if x[2] in names:
-                holds[name].add(x[2])
-            elif not IDENTIFIER.match(x[2]) or any(c.isdigit() for c in x[2]):
-                literals[name].append(x)
+    names = {name for name, _ in found}
+    values, score = defaultdict(list), {}
+    for name, terms in found:
+        values[name].append([(a, b, v, bare and v in names) for a, b, v, bare in terms if not bare or v in names or not IDENTIFIER.match(v) or any(c.isdigit() for c in v)])
         score[name] = max(score.get(name, 0), name_score(name))
     queue = [n for n in score if score[n]]
     while queue:  # from sensitive targets back to the constants that they take
         name = queue.pop()
-        for r in holds[name]:
-            if score[r] < score[name]:
-                score[r] = score[name]
-                queue.append(r)
-    return in_order({("literal", a, b) for n in score if score[n] for a, b, v in literals[n] if (k := literal_score(v)) and score[n] + k >= threshold})
+        for _, _, v, is_name in (t for terms in values[name] for t in terms):
+            if is_name and score[v] < score[name]:
+                score[v] = score[name]
+                queue.append(v)
+    sensitive = [n for n in score if score[n]]
+    out = {(a, b) for n in sensitive for terms in values[n] for a, b, v, is_name in terms if not is_name and (k := literal_score(v)) and score[n] + k >= threshold}
+    for n in sensitive:
+        for terms in values[n]:
+            if len(terms) > 1 and (folded := _folded(terms, values, len(text))):
+                whole, parts = folded
+                if (k := literal_score(whole)) and score[n] + k >= threshold:
+                    out.update(parts)
+    return in_order(("literal", a, b) for a, b in out)
+
+
+def _folded(terms, values, limit: int) -> tuple[str, list] | None:
+    """(the value of joined terms, spans of the literals in it); None where it has references in a circle or is longer than the whole text."""
+    whole, parts, size = [], [], 0
+    todo = [(t, ()) for t in reversed(terms)]
+    while todo:
+        (a, b, v, is_name), via = todo.pop()
+        if is_name:
+            if v in via or len(via) > 50:
+                return None
+            todo += [(t, (*via, v)) for t in reversed(values[v][0])]
+        else:
+            whole.append(v)
+            if a < b:
+                parts.append((a, b))
+            size += len(v) + 1
+        if size > limit or len(todo) > limit:
+            return None
+    return "".join(whole), parts
 
 
 def spans(text: str | None) -> tuple[list, list]:

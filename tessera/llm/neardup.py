@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -28,6 +29,8 @@ ODD = [f"o{i}" for i in range(PARITIES // 64)]
 ROUNDS = 1
 #: Longer posting lists are cut into blocks, so that no task holds more than a pair of blocks.
 BLOCK = 512
+#: Comparisons within lists that a task should make, and the most tasks that they are dealt to.
+TASK_PAIRS, MOST_TASKS = 2_000_000, 100_000
 #: Pairs that are confirmed with one copy of a text; a text of more pairs is copied, so that its pairs are spread.
 TEXT_PAIRS = 500
 
@@ -185,11 +188,15 @@ def links(reps: DataFrame, who: DataFrame, docs: DataFrame) -> DataFrame:
         label = checkpoint(components(reduce(DataFrame.union, found)))
     # what is left: all pairs of a list that aren't in one component yet, met at the first token that their prefixes share
     rows = with_label(p).select("node", "component", "prefix", F.explode("prefix").alias("token"))
-    lists = rows.groupBy("token").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(lists, "token").join(facts, "node").withColumn("prefix", F.transform("prefix", lambda x: F.hash(x))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    lists = rows.groupBy("token").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    lists = stored(lists)
+    compared = lists.agg(F.sum(F.col("size").cast("double") * F.col("size"))).first()[0] or 0.0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, math.ceil(compared / TASK_PAIRS)))
+    rows = rows.join(lists.drop("size"), "token").join(facts, "node").withColumn("prefix", F.transform("prefix", lambda x: F.hash(x))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a member of block i goes to the pairs of blocks (i, j) for all j
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
     rows = rows.withColumn("inner", F.col("own") == F.col("other")).withColumn("place", F.hash("token")).drop("blocks", "other")
+    rows = rows.repartition(tasks, "token", "block")
     key = ("token", "block")
     meet = _side(rows, "_a", key).join(_side(rows, "_b", key), list(key)).filter(
         (F.col("node_a") < F.col("node_b")) & (F.col("inner_a") | (F.col("own_a") != F.col("own_b"))) & (F.col("component_a") != F.col("component_b")) & _alike("n_a", "n_b")

@@ -25,8 +25,20 @@ def apart(left: DataFrame, right: DataFrame) -> tuple[DataFrame, dict[str, str]]
     return right.toDF(*new), names
 
 
+#: A broadcast that was asked for is made up to this size of the right side, as its plan estimates it; beyond, Spark chooses.
+MAX_BROADCAST_BYTES = 1 << 30
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The size that the plan estimates; where it knows none, as over local rows, from a count."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 62 else df.count() * int(df._jdf.schema().defaultSize())
+
+
 def _hinted(df: DataFrame, strategy: str | None) -> DataFrame:
-    return df if strategy is None else df.hint(STRATEGIES[strategy])
+    if strategy is None or strategy == "broadcast" and estimated_bytes(df) > MAX_BROADCAST_BYTES:
+        return df
+    return df.hint(STRATEGIES[strategy])
 
 
 def equi_join(left: DataFrame, right: DataFrame, left_keys: str | list[str], right_keys: str | list[str] | None = None, how: str = "inner", strategy: str | None = None) -> DataFrame:

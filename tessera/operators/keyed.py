@@ -54,14 +54,7 @@ def word_count(texts: DataFrame, column: str = "text") -> DataFrame:
 
 
 def zip_partitions(a: RDD, b: RDD, f: Callable) -> RDD:
-    """f(iterator of a, iterator of b) for partitions of equal index; both sides need as many."""
+    """f(iterator of a, iterator of b) for partitions of equal index, without a shuffle; both sides need as many. A task holds one partition of each."""
     if a.getNumPartitions() != b.getNumPartitions():
         raise ValueError("zipped RDDs need equal numbers of partitions")
-    tag = lambda r, s: r.mapPartitionsWithIndex(lambda i, it: ((i, (s, x)) for x in it))
-    n = a.getNumPartitions()
-
-    def run(it):
-        rows = [x for _, x in it]
-        return f(iter([x for s, x in rows if s == 0]), iter([x for s, x in rows if s == 1]))
-
-    return tag(a, 0).union(tag(b, 1)).partitionBy(n, lambda k: k).mapPartitions(run)
+    return a.glom().zip(b.glom()).flatMap(lambda both: f(iter(both[0]), iter(both[1])))

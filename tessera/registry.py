@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from .functions import expressions as X
 from .operators import aggregate, joins, keyed, pyfunc, relational, windows
 from .plans import sqlfront
 from .session import load_table, load_tables
-from .shared import checkpoint, persist, set_checkpoint_dir
+from .shared import broadcast_value, checkpoint, long_accumulator, persist, set_checkpoint_dir
 from .sources import files
 from .types import create_dataframe
 
@@ -190,18 +191,24 @@ def user_aggregate(t, spark):
     return g(t("events").filter("value >= 0"), ["event_type"], "value", "g")
 
 
-# Joins
+@query("SELECT event_type, count(*) AS n, round(exp(avg(ln(value + 1))), 6) AS g, max(value) AS top, CAST(max(event_id) AS BIGINT) AS last FROM events WHERE value >= 0 GROUP BY event_type")
+def mixed_aggregates(t, spark):
+    import math
+
+    mean = A.user_aggregate(lambda: (0.0, 0), lambda b, v: (b[0] + math.log(v + 1), b[1] + 1), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda b: round(math.exp(b[0] / b[1]), 6), "double")
+    last = A.user_aggregate(lambda: -1, max, max, lambda b: b, "bigint")
+    return aggregate.group_agg(t("events").filter("value >= 0"), ["event_type"], A.count().alias("n"), mean.of("value").alias("g"), A.max_("value").alias("top"), last.of("event_id").alias("last"))
 
 
-def _sides(t):
-    return t("customer").filter("c_custkey % 3 = 0").select("c_custkey", "c_name"), t("orders").filter("o_custkey % 2 = 0").select("o_orderkey", "o_custkey")
+@query("SELECT count(*) AS n, CAST(bit_xor(CAST(o_orderkey AS BIGINT)) AS BIGINT) AS x FROM orders")
+def user_aggregate_global(t, spark):
+    return aggregate.group_agg(t("orders"), [], A.count().alias("n"), A.user_aggregate(lambda: 0, lambda b, v: b ^ v, lambda a, b: a ^ b, lambda b: b, "bigint").of("o_orderkey").alias("x"))
+
+
+# Joins
 
 
 for _how, _kind in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
-    query(f"SELECT c_custkey, c_name, o_orderkey, o_custkey FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) {_kind} (SELECT * FROM orders WHERE o_custkey % 2 = 0) ON c_custkey = o_custkey", name=f"join_{_how}")(
-        lambda t, spark, how=_how: joins.equi_join(*_sides(t), "c_custkey", "o_custkey", how)
-    )
-for _how, _kind in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):  # the same over whole tables
     query(f"SELECT c_custkey, c_name, o_orderkey, o_custkey FROM customer {_kind} orders ON c_custkey = o_custkey", name=f"join_{_how}_whole")(
         lambda t, spark, how=_how: joins.equi_join(t("customer").select("c_custkey", "c_name"), t("orders").select("o_orderkey", "o_custkey"), "c_custkey", "o_custkey", how)
     )
@@ -210,8 +217,8 @@ for _how, _not in (("left_semi", ""), ("left_anti", "NOT ")):
         lambda t, spark, how=_how: joins.equi_join(t("customer").select("c_custkey", "c_name"), t("orders").filter("o_totalprice > 250000.0"), "c_custkey", "o_custkey", how)
     )
 for _strategy in ("broadcast", "shuffle_hash", "sort_merge"):
-    query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 200000.0", name=f"join_{_strategy}")(
-        lambda t, spark, s=_strategy: joins.equi_join(t("orders").filter("o_totalprice > 200000.0"), t("customer"), "o_custkey", "c_custkey", strategy=s).select("o_orderkey", "c_name")
+    query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey", name=f"join_{_strategy}_whole")(
+        lambda t, spark, s=_strategy: joins.equi_join(t("orders").select("o_orderkey", "o_custkey"), t("customer").select("c_custkey", "c_name"), "o_custkey", "c_custkey", strategy=s).select("o_orderkey", "c_name")
     )
 
 
@@ -221,11 +228,11 @@ def join_multi_key(t, spark):
     return j.select("l_orderkey", "l_linenumber", F.col("l_quantity_2").alias("q"))
 
 
-@query("SELECT name, item FROM (VALUES (1, 'alice'), (NULL, 'ghost')) a(id, name) JOIN (VALUES (1, 'book'), (NULL, 'void')) b(id, item) ON a.id = b.id")
+@query("SELECT port, ship FROM (VALUES (7, 'oslo'), (NULL, 'nowhere'), (9, 'riga')) a(dock, port) JOIN (VALUES (9, 'tern'), (NULL, 'lost'), (9, 'skua')) b(dock, ship) ON a.dock = b.dock")
 def join_null_keys(t, spark):
-    a = create_dataframe(spark, [(1, "alice"), (None, "ghost")], [("id", "int"), ("name", "string")])
-    b = create_dataframe(spark, [(1, "book"), (None, "void")], [("id", "int"), ("item", "string")])
-    return joins.equi_join(a, b, "id").select("name", "item")
+    a = create_dataframe(spark, [(7, "oslo"), (None, "nowhere"), (9, "riga")], [("dock", "int"), ("port", "string")])
+    b = create_dataframe(spark, [(9, "tern"), (None, "lost"), (9, "skua")], [("dock", "int"), ("ship", "string")])
+    return joins.equi_join(a, b, "dock").select("port", "ship")
 
 
 @query("SELECT n_nationkey, r_name FROM nation JOIN (SELECT CAST(r_regionkey AS DOUBLE) AS k, r_name FROM region) ON n_regionkey = k")
@@ -259,10 +266,10 @@ def cross_join(t, spark):
 
 
 def _bands(spark):
-    return create_dataframe(spark, [(0, 10, "low"), (10, 20, "mid"), (20, 35, "high"), (90, 99, "none")], [("lo", "int"), ("hi", "int"), ("label", "string")])
+    return create_dataframe(spark, [(1, 8, "tiny"), (5, 23, "medium"), (23, 46, "big"), (60, 75, "giant")], [("lo", "int"), ("hi", "int"), ("label", "string")])
 
 
-BANDS = "(VALUES (0, 10, 'low'), (10, 20, 'mid'), (20, 35, 'high'), (90, 99, 'none')) b(lo, hi, label)"
+BANDS = "(VALUES (1, 8, 'tiny'), (5, 23, 'medium'), (23, 46, 'big'), (60, 75, 'giant')) b(lo, hi, label)"
 for _how, _sql in (
     ("inner", f"SELECT p_partkey, label FROM part JOIN {BANDS} ON p_size >= lo AND p_size < hi"),
     ("left", f"SELECT p_partkey, label FROM part LEFT JOIN {BANDS} ON p_size >= lo AND p_size < hi"),
@@ -274,6 +281,30 @@ for _how, _sql in (
 ):
     query(_sql, name=f"theta_{_how.replace('left_', '')}")(lambda t, spark, how=_how: joins.theta_join(t("part"), _bands(spark), "p_size >= lo AND p_size < hi", how).select("p_partkey", *[] if how in ("left_semi", "left_anti") else ["label"]))
 
+@query("SELECT p_partkey, p_retailprice / CAST(p_size - 25 AS DOUBLE) AS q, CAST(p_size - 25 AS DOUBLE) / CAST(p_size - 25 AS DOUBLE) AS one FROM part")
+def sql_divide_by_zero(t, spark):
+    t("part").createOrReplaceTempView("part")
+    return sqlfront.sql(spark, "SELECT p_partkey, p_retailprice / (p_size - 25) AS q, (p_size - 25) / (p_size - 25) AS one FROM part", strict=True)
+
+
+@query("SELECT p_partkey, CAST(p_size AS BIGINT) * 100000000 + 2147483647 AS big, CAST(p_size AS BIGINT) - 2147483647 AS low FROM part WHERE CAST(p_size AS BIGINT) * 100000000 > 2147483647")
+def sql_int_widen(t, spark):
+    t("part").createOrReplaceTempView("part")
+    return sqlfront.sql(spark, "SELECT p_partkey, p_size * 100000000 + 2147483647 AS big, p_size - 2147483647 low FROM part WHERE p_size * 100000000 > 2147483647", strict=True)
+
+
+@query("SELECT a.n_nationkey, a.n_name, a.n_regionkey, b.n_nationkey AS n_nationkey_2, b.n_name AS n_name_2, b.n_regionkey AS n_regionkey_2 FROM nation a LEFT JOIN nation b ON a.n_regionkey = b.n_nationkey WHERE a.n_nationkey > 2")
+def sql_join_star(t, spark):
+    t("nation").createOrReplaceTempView("nation")
+    return sqlfront.sql(spark, "SELECT * FROM nation LEFT OUTER JOIN nation ON n_regionkey = n_nationkey WHERE n_nationkey > 2", strict=True)
+
+
+@query("SELECT n_name_2, count(*) AS n FROM (SELECT b.n_name AS n_name_2 FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_regionkey + 1 = b.n_regionkey + 1) GROUP BY n_name_2 HAVING count(*) > 1")
+def sql_join_same_names(t, spark):
+    t("nation").createOrReplaceTempView("nation")
+    return sqlfront.sql(spark, "SELECT n_name_2, count(*) n FROM nation JOIN nation ON n_regionkey = n_regionkey AND n_regionkey + 1 = n_regionkey + 1 GROUP BY n_name_2 HAVING count(*) > 1 ORDER BY n_name_2", strict=True)
+
+
 # Windows, sorting
 
 
@@ -288,7 +319,7 @@ for _f in ("rank", "dense_rank"):
 
 @query("SELECT event_id, row_number() OVER (ORDER BY event_id) AS rn FROM events")
 def win_global_row_number(t, spark):
-    return t("events").select("event_id", windows.row_number(windows.order_by("event_id")).alias("rn"))
+    return windows.global_row_number(t("events").select("event_id"), "event_id", name="rn")
 
 
 @query("SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey DESC) AS rn FROM customer")
@@ -298,7 +329,7 @@ def win_order_desc(t, spark):
 
 @query("SELECT p_partkey, p_brand, p_size, CAST(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM part")
 def user_window(t, spark):
-    return windows.user_window(t("part").select("p_partkey", "p_brand", "p_size"), ["p_brand"], ["p_partkey"], "running", "bigint", lambda p: p["p_size"].cumsum())
+    return windows.user_window(t("part").select("p_partkey", "p_brand", "p_size"), windows.partition_by("p_brand").order_by("p_partkey"), "running", "bigint", lambda rows: list(accumulate(r.p_size for r in rows)))
 
 
 @query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority ASC, o_totalprice DESC, o_orderkey LIMIT 50")
@@ -333,12 +364,6 @@ def group_by_key(t, spark):
     return keyed.group_by_key(_pairs(t)).withColumn("v", F.array_join("v", ","))
 
 
-@query("WITH a AS (SELECT o_custkey AS k, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS v FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1), b AS (SELECT o_custkey AS k, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS w FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, coalesce(v, '') AS v, coalesce(w, '') AS w FROM a FULL JOIN b ON a.k = b.k")
-def cogroup(t, spark):
-    c = keyed.cogroup(_pairs(t).filter("k % 3 = 0"), _pairs(t).filter("k % 2 = 0"))
-    return c.select("k", F.array_join("v", ",").alias("v"), F.array_join("w", ",").alias("w"))
-
-
 @query("WITH a AS (SELECT o_custkey AS k, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS v FROM orders GROUP BY 1), b AS (SELECT c_custkey AS k, string_agg(CAST(c_nationkey AS VARCHAR), ',' ORDER BY c_nationkey) AS w FROM customer GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, coalesce(v, '') AS v, coalesce(w, '') AS w FROM a FULL JOIN b ON a.k = b.k")
 def cogroup_whole(t, spark):
     c = keyed.cogroup(_pairs(t), keyed.map_to_pair(t("customer"), "c_custkey", "c_nationkey"))
@@ -394,6 +419,60 @@ def py_reduce_by_key(t, spark):
     return pyfunc.py_reduce_by_key(t("orders"), "o_custkey", "o_orderkey", max, -1, "long")
 
 
+@query("SELECT l_orderkey AS k, CAST(sum(l_linenumber) AS BIGINT) AS v FROM lineitem GROUP BY l_orderkey HAVING count(*) > 3")
+def map_partitions(t, spark):
+    def run(rows):
+        held = {}
+        for r in rows:
+            n, s = held.get(r.l_orderkey, (0, 0))
+            held[r.l_orderkey] = n + 1, s + r.l_linenumber
+        yield from ((k, s) for k, (n, s) in held.items() if n > 3)
+
+    return pyfunc.map_partitions(keyed.hash_partitioned(t("lineitem").select("l_orderkey", "l_linenumber"), 8, "l_orderkey"), run, "k bigint, v bigint")
+
+
+# Actions, RDDs, shared variables
+
+
+@query("SELECT (SELECT count(*) FROM lineitem) AS n, (SELECT CAST(sum(l_linenumber) AS BIGINT) FROM lineitem) AS total, (SELECT min(l_orderkey) FROM lineitem) AS first")
+def actions(t, spark):
+    df = t("lineitem")
+    total = df.select("l_linenumber").rdd.map(lambda r: r[0]).reduce(lambda a, b: a + b)
+    first = keyed.take_ordered(df.select("l_orderkey"), 1, "l_orderkey")[0][0]
+    return create_dataframe(spark, [(df.count(), total, first)], [("n", "bigint"), ("total", "bigint"), ("first", "bigint")])
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 7")
+def take_ordered(t, spark):
+    rows = keyed.take_ordered(t("orders").select("o_orderkey", "o_totalprice"), 7, F.desc("o_totalprice"), "o_orderkey")
+    return create_dataframe(spark, [(int(k), p) for k, p in rows], [("o_orderkey", "bigint"), ("o_totalprice", "double")])
+
+
+@query("SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS f, (SELECT count(*) FROM orders) AS n")
+def accumulators(t, spark):
+    n, f = long_accumulator(spark), long_accumulator(spark)
+
+    def see(rows):
+        for r in rows:
+            n.add(1)
+            f.add(int(r.o_orderstatus == "F"))
+
+    t("orders").select("o_orderstatus").foreachPartition(see)
+    return create_dataframe(spark, [(f.value, n.value)], [("f", "bigint"), ("n", "bigint")])
+
+
+@query("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def broadcast_lookup(t, spark):
+    names = broadcast_value(spark, {r[0]: r[1] for r in t("nation").select("n_nationkey", "n_name").collect()})  # 25 rows
+    return pyfunc.py_map(t("supplier").select("s_suppkey", "s_nationkey"), lambda r: (r.s_suppkey, names.value[r.s_nationkey]), "s_suppkey bigint, n_name string")
+
+
+@query("SELECT a AS k, a * a AS square FROM range(1000) t(a)")
+def zipped_rdds(t, spark):
+    a, b = spark.sparkContext.parallelize(range(1000), 8), spark.sparkContext.parallelize(range(1000), 8).map(lambda x: x * x)
+    return spark.createDataFrame(keyed.zip_partitions(a, b, zip), "k long, square long")
+
+
 # Files, views, persistence
 
 

@@ -18,10 +18,13 @@ def persist(df: DataFrame, level: str = "MEMORY_AND_DISK") -> DataFrame:
 
 
 def set_checkpoint_dir(spark: SparkSession, folder: str | None = None) -> str:
-    """The folder that all executors share; spark.checkpoint.dir if set, else the one given, else a temporary one (for local use)."""
+    """The folder that all executors share: spark.checkpoint.dir if set, else the one given; a temporary one only on a local master."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or folder or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None) or folder
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -93,5 +96,13 @@ def run_job(rdd, f, partitions: list[int] | None = None) -> list:
 
 
 def status(spark: SparkSession) -> dict:
-    t = spark.sparkContext.statusTracker()
-    return {"jobs": list(t.getActiveJobsIds()), "stages": list(t.getActiveStageIds()), "ui": spark.sparkContext.uiWebUrl}
+    """What runs now: jobs with their stages, stages with their tasks, executors with theirs, and the address of the web interface."""
+    t, infos = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusTracker().getExecutorInfos()
+    jobs = [(i, t.getJobInfo(i)) for i in t.getActiveJobsIds()]
+    stages = [(i, t.getStageInfo(i)) for i in t.getActiveStageIds()]
+    return {
+        "jobs": [{"id": i, "status": j.status, "stages": list(j.stageIds)} for i, j in jobs if j],
+        "stages": [{"id": i, "name": s.name, "tasks": s.numTasks, "active": s.numActiveTasks, "done": s.numCompletedTasks, "failed": s.numFailedTasks} for i, s in stages if s],
+        "executors": [{"host": e.host(), "port": e.port(), "running": e.numRunningTasks()} for e in infos],
+        "ui": spark.sparkContext.uiWebUrl,
+    }

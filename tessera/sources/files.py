@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.pyfunc import map_partitions
+
 CSV_READ, CSV_WRITE = {"header", "inferSchema", "delimiter", "sep"}, {"header", "delimiter", "sep"}
-#: Lines that a JSON schema is inferred from.
-SAMPLE_LINES = 100
 
 
 def _checked(options: dict, known: set) -> dict:
@@ -30,21 +30,43 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return df if str(options.get("header", False)).lower() == "true" else df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
-def infer_json_schema(spark: SparkSession, path: str) -> T.StructType:
-    """Keys in the order first seen in the first lines; whole numbers int or long by size, mixed kinds string."""
-    kinds: dict[str, str | None] = {}
-    wider = ["int", "long", "double"]
-    for row in spark.read.text(path).filter(F.trim("value") != "").limit(SAMPLE_LINES).toLocalIterator():
+def _kind(v) -> str:
+    """A JSON value's kind; "" for null, which goes with every kind."""
+    if v is None or isinstance(v, bool):
+        return "" if v is None else "boolean"
+    if isinstance(v, int):
+        return "int" if -(2**31) <= v < 2**31 else "long" if -(2**63) <= v < 2**63 else "double"
+    return "double" if isinstance(v, float) else "string"
+
+
+def _keys(rows):
+    """(key, kind, line, place) of each new pair of key and kind in (value, line) rows."""
+    seen = set()
+    for text, line in rows:
         try:
-            obj = json.loads(row[0])
+            obj = json.loads(text)
         except ValueError:
             continue
-        for k, v in obj.items() if isinstance(obj, dict) else ():
-            new = None if v is None else "boolean" if isinstance(v, bool) else ("int" if -(2**31) <= v < 2**31 else "long") if isinstance(v, int) else "double" if isinstance(v, float) else "string"
-            old = kinds.get(k)
-            kinds[k] = new if old is None else old if new is None or new == old else wider[max(wider.index(old), wider.index(new))] if old in wider and new in wider else "string"
+        for place, (k, v) in enumerate(obj.items() if isinstance(obj, dict) else ()):
+            kind = _kind(v)
+            if (k, kind) not in seen:
+                seen.add((k, kind))
+                yield k, kind, line, place
+
+
+def infer_json_schema(spark: SparkSession, path: str) -> T.StructType:
+    """Keys of all lines in the order first seen; whole numbers int or long by size, mixed kinds string. Lines are read where they lie; the
+    driver gets one row a key."""
+    lines = spark.read.text(path).filter(F.trim("value") != "").select("value", F.monotonically_increasing_id().alias("line"))
+    found = map_partitions(lines, _keys, "key string, kind string, line long, place int")
+    keys = found.groupBy("key").agg(F.collect_set("kind").alias("kinds"), F.min(F.struct("line", "place")).alias("at")).orderBy("at").collect()
     names = {"int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
-    return T.StructType([T.StructField(k, names.get(v, T.StringType())) for k, v in kinds.items()])
+
+    def merged(kinds: set) -> T.DataType:
+        wider = next((k for k in ("double", "long", "int") if k in kinds), None)
+        return names.get(wider if kinds <= {"int", "long", "double"} else kinds.copy().pop() if len(kinds) == 1 else "string", T.StringType())
+
+    return T.StructType([T.StructField(r.key, merged(set(r.kinds) - {""})) for r in keys])
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:

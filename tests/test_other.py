@@ -10,17 +10,36 @@ from tessera.streaming import each_batch
 
 from .conftest import rows
 
-STAFF = [("eng", "alice", 200), ("eng", "bob", 150), ("eng", "carol", 200), ("eng", "dan", 100), ("sales", "eve", 180), ("sales", "frank", 120)]
+BOATS = [("red", "tern", 41), ("red", "skua", 55), ("red", "gull", 41), ("red", "auk", 12), ("red", "ibis", 12), ("blue", "crane", None), ("blue", "heron", 7)]
 
 
 def test_ranks(make):
-    df = make(STAFF, "dept:string name:string salary:int")
-    spec = windows.partition_by("dept").order_by_desc("salary")
-    out = df.select("name", windows.rank(spec).alias("r"), windows.dense_rank(spec).alias("d"), windows.row_number(windows.order_by("salary")).alias("n"))
+    df = make(BOATS, "fleet:string name:string length:int")
+    spec = windows.partition_by("fleet").order_by_desc("length")
+    out = df.select("name", windows.rank(spec).alias("r"), windows.dense_rank(spec).alias("d"), windows.row_number(windows.order_by("length", "name")).alias("n"))
     got = {r.name: (r.r, r.d) for r in out.collect()}
-    assert got == {"alice": (1, 1), "carol": (1, 1), "bob": (3, 2), "dan": (4, 3), "eve": (1, 1), "frank": (2, 2)}
+    assert got == {"skua": (1, 1), "tern": (2, 2), "gull": (2, 2), "auk": (4, 3), "ibis": (4, 3), "heron": (1, 1), "crane": (2, 2)}
     assert [t for _, t in out.dtypes[1:]] == ["bigint"] * 3
-    assert {r.name: r.n for r in out.collect()}["dan"] == 1
+    assert [r.name for r in sorted(out.collect(), key=lambda r: r.n)] == ["crane", "heron", "auk", "ibis", "gull", "tern", "skua"]
+
+
+def test_user_windows(make):
+    df = make([("a", 3, 2**53 + 1), ("a", None, 2**53), ("a", 1, None), (None, 5, 1), (None, 4, 2)], "k:string o:int v:long").repartition(3)
+    seen = lambda rows: [str([x.v for x in rows[: i + 1]]) for i in range(len(rows))]
+    up = windows.user_window(df, windows.partition_by("k").order_by("o"), "s", "string", seen)
+    assert {(r.k, r.o): r.s for r in up.collect()} == {("a", None): f"[{2**53}]", ("a", 1): f"[{2**53}, None]", ("a", 3): f"[{2**53}, None, {2**53 + 1}]", (None, 4): "[2]", (None, 5): "[2, 1]"}
+    down = windows.user_window(df, windows.partition_by("k").order_by_desc("o"), "n", "bigint", lambda rows: range(len(rows)))
+    assert {(r.k, r.o): r.n for r in down.collect()} == {("a", 3): 0, ("a", 1): 1, ("a", None): 2, (None, 5): 0, (None, 4): 1}
+    whole = windows.user_window(df, windows.order_by("v"), "n", "int", lambda rows: [len(rows)] * len(rows))
+    assert [r.n for r in whole.collect()] == [5] * 5 and up.columns == ["k", "o", "v", "s"]
+    assert windows.user_window(df.limit(0), windows.partition_by("k"), "n", "int", len).count() == 0
+
+
+def test_global_row_number(make):
+    df = make([(i * 7 % 101, None if i % 10 == 0 else "x") for i in range(101)], "v:int s:string").repartition(5)
+    out = windows.global_row_number(df, "v", name="n").collect()
+    assert {r.v: r.n for r in out} == {v: v + 1 for v in range(101)}
+    assert windows.global_row_number(df.limit(0), "v").count() == 0
 
 
 def test_keyed(spark, make):
@@ -44,13 +63,28 @@ def test_python_functions(make):
     assert rows(pyfunc.py_filter(df, lambda r: r.id > 1)) == [(2, "c")]
     assert rows(pyfunc.py_flat_map(df, lambda r: [(w,) for w in r.s.split()], "w string")) == [("a",), ("b",), ("c",)]
     assert rows(pyfunc.py_reduce_by_key(make([("a", 1), ("a", 3), ("b", 2)], "k:string v:long"), "k", "v", lambda a, b: a + b, 0, "long")) == [("a", 4), ("b", 2)]
+    assert sorted(r.n for r in pyfunc.map_partitions(make([(i,) for i in range(10)], "v:int").repartition(3), lambda it: [(sum(1 for _ in it),)], "n int").collect() if r.n) and sum(r.n for r in pyfunc.map_partitions(df, lambda it: [(sum(1 for _ in it),)], "n int").collect()) == 2
+
+
+BIG = [(2**53 + 1, "x"), (2**53, None), (None, "z")]
+
+
+def test_python_functions_see_whole_numbers_and_none(make):
+    df = make(BIG, "v:long s:string").repartition(1)
+    assert rows(pyfunc.py_map(df, lambda r: (r.v, r.s), "v long, s string")) == sorted(BIG, key=repr)
+    assert rows(pyfunc.py_map(df, lambda r: (type(r.v).__name__ + type(r.s).__name__,), "t string")) == [("NoneTypestr",), ("intNoneType",), ("intstr",)]
+    assert rows(pyfunc.py_filter(df, lambda r: r.v is None or r.v % 2 == 1)) == sorted([BIG[0], BIG[2]], key=repr)
+    assert rows(pyfunc.py_flat_map(df, lambda r: [(r.v,)] * 2, "v long")) == sorted([(v,) for v, _ in BIG] * 2, key=repr)
+    got = pyfunc.py_reduce_by_key(make([(2**53, 1), (2**53 + 1, 2), (None, 3), (None, None), (2**53, 4)], "k:long v:long"), "k", "v", lambda a, b: a + (b or 0), 0, "long")
+    assert rows(got) == [(2**53, 5), (2**53 + 1, 2), (None, 3)]
+    assert rows(pyfunc.py_map(df.limit(0), lambda r: (1,), "x int")) == []
 
 
 def test_csv(spark, tmp_path):
-    (tmp_path / "h.csv").write_text('name,age,score\nalice,30,9.5\nbob , 25,8\n"c ""x"", y",bad,7.0,extra\nshort\n\n')
-    df = files.read_csv(spark, str(tmp_path / "h.csv"), "name string, age int, score double", header=True)
-    assert rows(df) == [("alice", 30, 9.5), ("bob", 25, 8.0), ('c "x", y', None, 7.0), ("short", None, None)]
-    (tmp_path / "n.csv").write_text("alice,30\nbob,25\n")
+    (tmp_path / "h.csv").write_text('port,depth,fee\noslo,14,2.25\nriga , 9,7\n"say ""hi"", all",deep,1.0,more\nlone\n\n')
+    df = files.read_csv(spark, str(tmp_path / "h.csv"), "port string, depth int, fee double", header=True)
+    assert rows(df) == [("lone", None, None), ("oslo", 14, 2.25), ("riga", 9, 7.0), ('say "hi", all', None, 1.0)]
+    (tmp_path / "n.csv").write_text("oslo,14\nriga,9\n")
     assert files.read_csv(spark, str(tmp_path / "n.csv")).columns == ["c0", "c1"]
     assert dict(files.read_csv(spark, str(tmp_path / "n.csv"), inferSchema=True).dtypes)["c1"] == "int"
     with pytest.raises(ValueError):
@@ -58,21 +92,30 @@ def test_csv(spark, tmp_path):
 
 
 def test_round_trips(spark, make, tmp_path):
-    df = make([("east", 10), ('q"x,y', 20), (None, 30)], "region:string amount:int")
+    df = make([("oslo", 3), ('a "b", c', 8), (None, 5)], "port:string n:int")
     files.write_csv(df, str(tmp_path / "c"), header=True)
-    assert rows(files.read_csv(spark, str(tmp_path / "c"), "region string, amount int", header=True)) == rows(df)
+    assert rows(files.read_csv(spark, str(tmp_path / "c"), "port string, n int", header=True)) == rows(df)
     files.write_json(df, str(tmp_path / "j"))
     assert rows(files.read_json(spark, str(tmp_path / "j"), df.schema)) == rows(df)
-    files.write_text(df, str(tmp_path / "t"), "amount")
-    assert sorted(r[0] for r in files.read_text(spark, str(tmp_path / "t")).collect()) == ["10", "20", "30"]
+    files.write_text(df, str(tmp_path / "t"), "n")
+    assert sorted(r[0] for r in files.read_text(spark, str(tmp_path / "t")).collect()) == ["3", "5", "8"]
     assert files.text_rdd(spark, str(tmp_path / "t"), 2).count() == 3
 
 
 def test_json_schema(spark, tmp_path):
-    (tmp_path / "a.json").write_text('{"name":"alice","age":30,"x":1}\n{"name":"bob","age":5000000000,"x":2.5,"n":null}\nbroken\n{"b":true,"name":1}\n')
+    (tmp_path / "a.json").write_text('{"port":"oslo","depth":14,"fee":1}\n{"port":"riga","depth":7000000000,"fee":0.5,"none":null}\nnot json\n[1]\n{"open":true,"port":3}\n')
     s = files.infer_json_schema(spark, str(tmp_path / "a.json"))
-    assert [(f.name, f.dataType.simpleString()) for f in s] == [("name", "string"), ("age", "bigint"), ("x", "double"), ("n", "string"), ("b", "boolean")]
-    assert files.read_json(spark, str(tmp_path / "a.json")).count() == 4
+    assert [(f.name, f.dataType.simpleString()) for f in s] == [("port", "string"), ("depth", "bigint"), ("fee", "double"), ("none", "string"), ("open", "boolean")]
+    assert files.read_json(spark, str(tmp_path / "a.json")).count() == 5
+
+
+def test_json_schema_of_all_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text("".join('{"a":%d}\n' % i for i in range(5000)) + '{"a":3000000000,"late":1}\n{"late":2.5,"last":[1]}\n')
+    df = files.read_json(spark, str(tmp_path / "a.json"))
+    assert df.dtypes == [("a", "bigint"), ("late", "double"), ("last", "string")]
+    assert rows(df.filter("late is not null")) == [(3000000000, 1.0, None), (None, 2.5, "[1]")]
+    (tmp_path / "none.json").write_text("\n")
+    assert files.infer_json_schema(spark, str(tmp_path / "none.json")).names == []
 
 
 GOOD = ["SELECT * FROM t", "select a, count(*) AS n from t where a >= 1 AND (b = 'x' OR c < 2.5) group by a having count(*) > 1 order by n desc limit 3", "SELECT DISTINCT a + 1 * 2 b FROM t LEFT OUTER JOIN u ON a = b AND c = d"]
@@ -98,6 +141,25 @@ def test_sql(spark, make):
         sqlfront.sql(spark, "SELECT a FROM nowhere")
 
 
+def test_sql_semantics(spark, make):
+    import math
+
+    make([(2**31 - 1, 0.0, "x"), (None, -0.0, "y"), (-5, 2.0, None)], "a:int d:double s:string").createOrReplaceTempView("t")
+    make([(2**31 - 1, 1), (-5, 2), (None, 3)], "a:int s:int").createOrReplaceTempView("u")
+    q = lambda text: sqlfront.sql(spark, text, strict=True)
+    assert q("SELECT a + 1, a * 2 AS b, a - 1 c FROM t").dtypes == [("a + 1", "bigint"), ("b", "bigint"), ("c", "bigint")]
+    assert rows(q("SELECT a + 1 FROM t WHERE a * 2 > 5")) == [(2**31,)]
+    assert q("SELECT d + 1, d * a FROM t").dtypes == [("d + 1", "double"), ("d * a", "double")]
+    assert sorted(map(str, (r[0] for r in q("SELECT 1 / d FROM t").collect()))) == ["-inf", "0.5", "inf"]
+    assert [r[0] for r in q("SELECT (a - a) / (a - a) FROM t WHERE s = 'x'").collect()][0] != 0 and math.isnan(q("SELECT (a - a) / d z FROM t WHERE s = 'x'").first().z)
+    joined = q("SELECT * FROM t JOIN u ON a = a JOIN u ON a = a")
+    assert joined.columns == ["a", "d", "s", "a_2", "s_2", "a_3", "s_3"] and joined.count() == 2
+    assert rows(q("SELECT s, s_2 FROM t LEFT JOIN u ON a + 1 = a + 1 ORDER BY s_2")) == sorted([("x", 1), ("y", None), (None, 2)], key=repr)
+    assert rows(q("SELECT s_2 FROM u FULL OUTER JOIN t ON s = a + 6")) == sorted([(None,), (None,), (None,), ("x",), ("y",)][1:] + [(None,)], key=repr)
+    assert q("SELECT count(*), sum(a + 1) FROM t GROUP BY s HAVING count(*) > 0 ORDER BY sum(a + 1) DESC LIMIT 2").columns == ["count(*)", "sum(a + 1)"]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("_from_")]
+
+
 def test_settings():
     got = session.translate({"sql.adaptive.enabled": True, "sql.autoBroadcastJoinThreshold.rows": 0, "sql.adaptive.autoBroadcastJoinThreshold.rows": 5, "spark.x": 1})
     assert got == {"spark.sql.adaptive.enabled": "true", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.x": "1"}
@@ -124,7 +186,8 @@ def test_shared(spark, make, tmp_path):
     assert shared.run_job(sc.parallelize(range(4), 2), lambda it: [sum(it)], [1]) == [5]
     shared.pool_file(str(tmp_path / "pools.xml"), {"p": (2, 1)})
     assert "<weight>2</weight>" in (tmp_path / "pools.xml").read_text()
-    assert shared.status(spark)["jobs"] == []
+    now = shared.status(spark)
+    assert now["jobs"] == [] and now["executors"] and now["executors"][0]["running"] == 0
 
 
 def test_cancel(spark):
@@ -142,7 +205,8 @@ def test_cancel(spark):
     t = InheritableThread(target=run)
     t.start()
     for _ in range(100):
-        if shared.status(spark)["jobs"]:
+        if (now := shared.status(spark))["stages"]:
+            assert now["jobs"][0]["stages"] == [now["stages"][0]["id"]] and now["jobs"][0]["status"] == "RUNNING" and now["stages"][0]["tasks"] == 2
             break
         threading.Event().wait(0.1)
     shared.cancel(spark)
@@ -156,3 +220,28 @@ def test_stream(spark, tmp_path):
     q = each_batch(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), lambda df, n: seen.append(df.count()), str(tmp_path / "check"))
     q.awaitTermination(60)
     assert sum(seen) == 10
+
+
+def test_submit(tmp_path):
+    import subprocess
+    import sys
+
+    from tessera import submit
+
+    c = submit.command(["--master", "local[1]", "--name", "n", "--conf", "sql.adaptive.enabled=false", "--conf", "spark.x=a=b", "app.py", "--flag", "1"])
+    assert c[0].endswith("spark-submit") and c[1:] == ["--master", "local[1]", "--name", "n", "--conf", "spark.sql.adaptive.enabled=false", "--conf", "spark.x=a=b", "app.py", "--flag", "1"]
+    with pytest.raises(SystemExit):
+        submit.command(["--conf", "nonsense", "app.py"])
+    (tmp_path / "app.py").write_text("import sys\nfrom pyspark.sql import SparkSession\ns = SparkSession.builder.getOrCreate()\nopen(sys.argv[1], 'w').write(f'{s.range(5).count()} {s.sparkContext.appName}')\n")
+    subprocess.run([sys.executable, "-m", "tessera.submit", "--master", "local[1]", "--name", "counts", "--conf", "ui.enabled=false", str(tmp_path / "app.py"), str(tmp_path / "out")], check=True, capture_output=True, timeout=120)
+    assert (tmp_path / "out").read_text() == "5 counts"
+
+
+def test_show_and_foreach(spark, make, capsys):
+    df = make([(3, "c"), (None, "n")], "v:int s:string")
+    df.show()
+    assert "NULL" in capsys.readouterr().out and df.first() == df.take(1)[0]
+    n = shared.long_accumulator(spark)
+    df.foreach(lambda r: n.add(r.v or 0))
+    assert n.value == 3 and df.rdd.map(lambda r: r.v or 0).reduce(max) == 3
+    assert keyed.hash_partitioned(df, 3, "v").rdd.getNumPartitions() == 3

@@ -103,10 +103,12 @@ def semi(df: DataFrame, keys: DataFrame, key: str, salts: int = 16) -> DataFrame
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow(run, schema), run being fed slices of BATCH_ROWS rows, as texts can be long; Spark bounds batches by bytes."""
 
+    names = df.columns
+
     def sliced(batches):
-        return run(b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS))
+        return run(b.slice(at, BATCH_ROWS).rename_columns(names) for b in batches for at in range(0, b.num_rows, BATCH_ROWS))
 
-    return df.mapInArrow(sliced, schema)
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(sliced, schema)  # names with dots wouldn't be found
 
 
 def with_arrays(df: DataFrame, make, fields: str, keep: tuple[str, ...] | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: in
     All sizes are shared by weight; where that is above max_repeat times a source's own size the target
     stops there and the excess is reshared by weight. That ends in a level L with target = min(cap, weight * L):
     sources sorted by cap / weight are capped up to the first that L doesn't fill. Only the table of sources,
-    one row each, goes through the global windows; documents don't."""
+    one row each, goes through the global windows, in one task: millions of sources fit it; documents don't go there."""
     src = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = W.orderBy(F.col("source").asc_nulls_last())
     w = F.get(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(by_name) - 1) % len(weights)).cast("int"))
@@ -72,13 +72,8 @@ def _mixed(rows: DataFrame, weights: Sequence[float], max_repeat: int, seed: int
 def taken(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
     """The mix itself, as rows of docs with all their columns: each row as often as mix() says, whatever its doc_id.
 
-    Rows go through the mix whole, as nothing in them need tell one from another."""
+    Rows go through the mix whole, as nothing in them need tell one from another: null and repeated doc_ids and any names of columns
+    are as good as others. A null text has no words, so that it doesn't count for its source, but can be taken with it; an empty table gives an empty one."""
     rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"))
     out = _mixed(rows, weights, max_repeat, seed).filter("copies > 0")
     return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_i")).select("_row.*")
-
-
-def emit(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix itself: each row of docs as often as its copies say. doc_id must be unique and not null; taken() needs neither."""
-    n = mixed.filter("copies > 0").select("doc_id", "copies")
-    return docs.join(n, "doc_id").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)

@@ -53,15 +53,15 @@ def slot(key: Column, slots: int = SLOTS) -> Column:
 
 
 def place(df: DataFrame, key: str, shards: Sequence[str], slots: int = SLOTS) -> DataFrame:
-    """df with the columns slot and shard (replaced if present), found in constant time a row.
+    """df with the columns slot and shard (replaced if present, even if one of them is the key), found in constant time a row.
 
     Rows are placed by key alone, so repeated rows meet in one shard; a null key counts as the text "null".
     An empty table gives an empty one. No row is shuffled: the table is broadcast (slots rows, <= MAX_SLOTS)."""
-    spark = df.sparkSession
     owner = lookup_table(shards, slots)
-    lookup = spark.createDataFrame([(i, shards[o]) for i, o in enumerate(owner)], "slot long, shard string")
-    df = df.drop("slot", "shard")
-    return df.withColumn("slot", slot(F.coalesce(F.col(key).cast("string"), F.lit("null")), slots)).join(F.broadcast(lookup), "slot").select(*df.columns, "slot", "shard")
+    lookup = df.sparkSession.createDataFrame([(i, shards[o]) for i, o in enumerate(owner)], "slot long, shard string")
+    own = [f"`{c}`" for c in df.columns if c not in ("slot", "shard")]
+    placed = df.select(*own, slot(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")), slots).alias("slot"))
+    return placed.join(F.broadcast(lookup), "slot").select(*own, "slot", "shard")
 
 
 def write_shards(df: DataFrame, path: str, key: str, shards: Sequence[str], slots: int = SLOTS, splits: int = 16) -> None:

@@ -155,9 +155,14 @@ def test_pipeline(spark, tmp_path):
     t = pieces.Transducer(queries.model_bytes())
     want = sorted((r.doc_id, np.frombuffer(t.encode(clean[r.doc_id]), np.int32).tolist()) for r in mixed for _ in range(r.copies))
     assert sorted((r.doc_id, r.ids) for r in out) == want and all(r.round_trip for r in out)
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        assert k == 4 or stage(spark, docs, str(tmp_path)).columns == docs.columns
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        # repeated rows, nulls, an empty and a long text, and further columns, some named as results
+        odd = docs.filter("doc_id < 8 or doc_id >= 300").union(docs.filter("doc_id < 4")).union(spark.createDataFrame([(9, "word " * 30_000 + ".", None, None, None)], docs.schema))
+        odd = odd.withColumns({c: F.lit("clash") for c in ("kept", "clean_text", "copies", "component_id", "spans", "ids", "row", "a.b")})
+        columns, n = stage(spark, odd, str(tmp_path)).columns, stage(spark, odd, str(tmp_path)).count()
+        assert columns == (docs.columns if k < 4 else ["doc_id", "lang", "source", "ids", "n_pieces", "round_trip"]) and (n == odd.count() if k in (2, 4) else n > 0)
 
 
 def wordy(seed, n=60):

@@ -79,8 +79,8 @@ def test_mix(spark, edge, empty):
             open_.remove(s)
     for s in order:
         assert target[s] == pytest.approx(want[s]) and abs(taken[s] - target[s]) <= 150
-    emitted = mixing.emit(df, mixing.mix(df))
-    assert emitted.count() == sum(r.copies for r in out) and emitted.columns == df.columns
+    emitted = mixing.taken(df.withColumns({"copies": F.lit("clash"), "_row": F.lit(1)}))
+    assert emitted.count() == sum(r.copies for r in out) and emitted.columns == [*df.columns, "copies", "_row"]
     assert mixing.mix(edge).count() == len(EDGE) and mixing.mix(empty).count() == 0
 
 
@@ -102,6 +102,10 @@ def test_sharding(spark, docs, edge, empty, tmp_path):
     for r in sharding.place(df, "doc_id", shards, 1009).collect():
         s = int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:13], 16) % 1009
         assert (r.slot, r.shard) == (s, shards[owner[s]])
+    for key in ("slot", "shard", "a.b"):
+        own = sharding.place(df.withColumnRenamed("doc_id", key).withColumn("x", F.col(f"`{key}`")), key, shards, 1009)
+        assert own.columns == [*([key] if key == "a.b" else []), "x", "slot", "shard"]
+        assert all(r.slot == int(hashlib.md5(str(r.x).encode()).hexdigest()[:13], 16) % 1009 for r in own.collect())
     placed = sharding.place(edge.withColumnRenamed("source", "slot"), "doc_id", shards, 1009)
     assert placed.count() == len(EDGE) and placed.filter("shard is null").count() == 0
     assert sharding.place(empty, "doc_id", shards).count() == 0
@@ -331,6 +335,69 @@ def test_toxicity(spark, edge, empty):
     assert none.weights == {} and none.score("vile") < 0.5
 
 
+def plain_tokens(text):
+    """A text's features, from the docstrings of features() and tokens()."""
+    count = {}
+    for raw in {*text.lower().split()}:
+        x = raw.strip(toxicity.EDGES)
+        for f in {x} | {x[:k] + "~" for k in (4, 5, 6, 7) if len(x) > k} if x else set():
+            count[f] = count.get(f, 0) + 1
+    n = len({*text.lower().split()})
+    return set(count) | {f + "+2" for f, k in count.items() if k >= 2} | {f + "+3" for f, k in count.items() if k >= 3} | {f + "%" for f, k in count.items() if k * 80 >= n}
+
+
+def plain_risk(w, b, positive, unlabelled, prior):
+    """(the risk, whether its negative part was positive), text by text."""
+    import math
+
+    loss = lambda z, y: math.log1p(math.exp(-y * z)) if -y * z < 30 else -y * z
+    z = [[b + sum(w[i] for i in x) for x in rows] for rows in (positive, unlabelled)]
+    mean = lambda v: sum(v) / len(v)
+    negative = mean([loss(v, -1) for v in z[1]]) - prior * mean([loss(v, -1) for v in z[0]])
+    return prior * mean([loss(v, 1) for v in z[0]]) + max(0.0, negative), negative
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    rng = random.Random(14)
+    vocabulary = [f"{rng.choice('abcd')}{k}word" for k in range(30)] + ["vile", "viler", "vilest", "«nasty»,", "--", "É!"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 40))) for _ in range(200)] + ["", "vile " * 5000]
+    for t in texts:
+        assert toxicity.tokens(t) == plain_tokens(t)
+    features = sorted({f for t in texts for f in plain_tokens(t)})
+    model = toxicity.Model({f: rng.gauss(0, 1) for f in features[::3]}, -0.5, 0.1)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, predicted string")
+    for r in toxicity.score(docs, model).collect():
+        z = -0.5 + sum(model.weights.get(f, 0.0) for f in plain_tokens(r.text))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30)))) and r.predicted == int(r.score >= 0.5)
+
+
+@pytest.mark.parametrize("prior", [0.05, 0.4])
+def test_toxicity_fits_the_least_risk(prior):
+    """fit() ends near the minimum that a plain search finds, and no small step from there lowers the risk by much."""
+    rng = random.Random(15)
+    draw = lambda toxic: np.array(sorted({k for k in range(6) if rng.random() < ((0.8 if k < 3 else 0.3) if toxic else (0.1 if k < 3 else 0.3))}), np.int64)
+    positive, unlabelled = [draw(True) for _ in range(60)], [draw(rng.random() < prior) for _ in range(300)]
+    w, b = toxicity.fit(positive, unlabelled, 6, prior, steps=3000, decay=0.0)
+    at, _ = plain_risk(w, b, positive, unlabelled, prior)
+    best, x = at, [*w, b]
+    for size in (0.5, 0.2, 0.05):
+        for _ in range(40):
+            moves = [[*x[:i], x[i] + d, *x[i + 1 :]] for i in range(7) for d in (-size, size)]
+            risk, move = min((plain_risk(m[:6], m[6], positive, unlabelled, prior)[0], m) for m in moves)
+            if risk >= best:
+                break
+            best, x = risk, move
+    assert at <= best + 0.01 and at < plain_risk([0.0] * 6, 0.0, positive, unlabelled, prior)[0]
+
+
+def test_toxicity_goes_back_where_the_risk_is_negative():
+    """Where positives fill the unlabelled texts beyond the prior's share, the negative part of the risk stays about zero instead of falling."""
+    positive, unlabelled = [np.array([0])] * 50, [np.array([k + 1]) for k in range(20)]
+    w, b = toxicity.fit([*positive], unlabelled, 21, 0.5, steps=2000, decay=0.0)
+    _, negative = plain_risk(w, b, positive, unlabelled, 0.5)
+    assert negative > -0.05
+
+
 # 9
 
 
@@ -493,6 +560,8 @@ def test_pieces_equal_the_library(spark, docs, empty):
         assert r.round_trip is (None if r.text is None else True)
     assert pieces.encode(empty, model).count() == 0
     assert [r.decoded for r in pieces.decode(out.filter("text = 'a b c'"), model).collect()] == ["a b c"]
+    clash = pieces.encode(docs(EDGE + EDGE).withColumns({"ids": F.lit("x"), "n_pieces": F.lit("y"), "a.b": F.lit("z")}), model)
+    assert clash.columns == ["doc_id", "text", "a.b", "ids", "n_pieces", "round_trip"] and clash.count() == 2 * len(EDGE)
 
 
 def varint(n):

@@ -1,8 +1,8 @@
 """A corpus pipeline: quality rules, near-duplicates, secrets, mixing, then piece ids.
 
-Each stage takes (spark, docs, sf_dir), docs with the columns of documents, and returns a DataFrame of the same columns; the
-last returns piece ids. Columns may be null; rows that repeat a doc_id are one document, of which the second stage keeps one row. Null or empty texts fail the quality rules, so that no later stage
-meets them; if run alone, stages treat them as their operators say."""
+Each stage takes (spark, docs, sf_dir), docs with the columns of documents and any others, and returns a DataFrame of the columns of documents; the
+last returns piece ids. Any column may be null, rows may repeat, other columns are left out whatever their names, and an empty table gives an
+empty one. Null and empty texts fail the quality rules, so that no later stage meets them in a run; each stage says what it does with them."""
 
 from __future__ import annotations
 
@@ -28,14 +28,14 @@ def _keys(keys: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are kept, without the lines that failed."""
+    """Documents that are kept, without the lines that failed. Rows are judged one by one, equal ones alike, whatever their doc_id; null and empty texts go."""
     return _with_text(quality.clean(docs.select(*COLUMNS)).filter("kept"), "clean_text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest doc_id, of rows that repeat it the one with the greatest text.
 
-    Rows without a doc_id are groups of their own."""
+    Rows without a doc_id are groups of their own, and all stay. A document without words is linked with none and stays."""
     docs = docs.select(*COLUMNS)
     gone = stored(neardup.near_duplicates(docs.select("doc_id", "text")).filter("not kept").select("doc_id").distinct())
     again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
@@ -45,17 +45,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark."""
+    """All rows, repeated ones included, with secrets replaced by a mark; a null text stays null (n_chars too), an empty one empty."""
     return _with_text(secrets.scan(docs.select(*COLUMNS)), "clean_text")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, none to three times."""
+    """Rows as often as the mix takes them, none to three times; a row that repeats counts as so many rows, a null source is a source, a text
+    without words adds nothing to its source."""
     return mixing.taken(docs.select(*COLUMNS))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids, n_pieces and round_trip of each document."""
+    """doc_id, lang, source, ids, n_pieces and round_trip of each row; a null text has null ids and no pieces, an empty one no ids."""
     return pieces.encode(docs.select(*COLUMNS), model_bytes()).select("doc_id", "lang", "source", "ids", "n_pieces", "round_trip")
 
 

@@ -41,7 +41,9 @@ def map_partitions(df: DataFrame, f: Callable[[Iterator], Iterable[tuple]], sche
     """f(iterator of rows) -> iterable of tuples, for each partition; nothing is held but a batch."""
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
-    return df.mapInArrow(lambda batches: row_batches(f(r for b in batches for r in batch_rows(b)), arrow), kind)
+    names = df.columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])  # names with dots wouldn't be found
+    return plain.mapInArrow(lambda batches: row_batches(f(r for b in batches for r in batch_rows(b.rename_columns(names))), arrow), kind)
 
 
 def py_map(df: DataFrame, f: Callable, schema: str) -> DataFrame:
@@ -51,7 +53,9 @@ def py_map(df: DataFrame, f: Callable, schema: str) -> DataFrame:
 
 def py_filter(df: DataFrame, f: Callable) -> DataFrame:
     """The rows for which f(row) is true; their values don't leave Arrow."""
-    return df.mapInArrow(lambda batches: (b.filter(pa.array([bool(f(r)) for r in batch_rows(b)], pa.bool_())) for b in batches), df.schema)
+    names = df.columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.mapInArrow(lambda batches: (b.filter(pa.array([bool(f(r)) for r in batch_rows(b.rename_columns(names))], pa.bool_())) for b in batches), plain.schema).toDF(*names)
 
 
 def py_flat_map(df: DataFrame, f: Callable, schema: str) -> DataFrame:

@@ -78,6 +78,8 @@ def test_python_functions_see_whole_numbers_and_none(make):
     got = pyfunc.py_reduce_by_key(make([(2**53, 1), (2**53 + 1, 2), (None, 3), (None, None), (2**53, 4)], "k:long v:long"), "k", "v", lambda a, b: a + (b or 0), 0, "long")
     assert rows(got) == [(2**53, 5), (2**53 + 1, 2), (None, 3)]
     assert rows(pyfunc.py_map(df.limit(0), lambda r: (1,), "x int")) == []
+    dotted = df.toDF("a.b", "s")
+    assert pyfunc.py_filter(dotted, lambda r: r[0] is None).columns == ["a.b", "s"] and pyfunc.py_map(dotted, lambda r: (r[0],), "x long").count() == 3
 
 
 def test_csv(spark, tmp_path):

@@ -111,6 +111,21 @@ def arrow_map(df: DataFrame, run, schema) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(sliced, schema)  # names with dots wouldn't be found
 
 
+#: Bounds of Arrow batches for whole texts, which hold two of them a task in the JVM and in Python.
+BATCH_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bounds Arrow batches by BATCH_SETTINGS where the session doesn't bound them itself, and returns it.
+
+    For what owns a session: queries and the pipeline's stages. Operators leave settings alone and work under any."""
+    conf = spark._jsparkSession.sessionState().conf()
+    for key, value in BATCH_SETTINGS.items():
+        if not conf.contains(key):
+            spark.conf.set(key, value)
+    return spark
+
+
 def with_arrays(df: DataFrame, make, fields: str, keep: tuple[str, ...] | None = None) -> DataFrame:
     """df (of its columns those in keep, if given) with more columns, made from Arrow batches of its rows; columns of their names are replaced.
 

@@ -30,7 +30,7 @@ ROUNDS = 1
 #: Longer posting lists are cut into blocks, so that no task holds more than a pair of blocks.
 BLOCK = 512
 #: Comparisons within lists that a task should make, and the most tasks that they are dealt to.
-TASK_PAIRS, MOST_TASKS = 2_000_000, 100_000
+TASK_PAIRS, MOST_TASKS = 250_000, 100_000
 #: Pairs that are confirmed with one copy of a text; a text of more pairs is copied, so that its pairs are spread.
 TEXT_PAIRS = 500
 
@@ -144,7 +144,8 @@ def _agree(a: str, b: str) -> Column:
         return F.bit_count(x.bitwiseAND(F.lit(sum(1 << BITS * i for i in range(LANES)))))
 
     most = (F.col(f"n{a}") + F.col(f"n{b}")) * (100 - PERCENT) / (100 + PERCENT)
-    return (total([F.bit_count(unequal(s)) for s in ODD]) <= most) & (total([apart(unequal(s)) for s in VALUES]) <= COORDINATES - MATCHES)
+    odd = lambda names: total([F.bit_count(unequal(s)) for s in names]) <= most
+    return odd(ODD[::2]) & odd(ODD) & (total([apart(unequal(s)) for s in VALUES]) <= COORDINATES - MATCHES)  # half of the parities tell most pairs apart
 
 
 def _side(p: DataFrame, s: str, but: tuple = ()) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, mixing, neardup, pieces, quality, secrets, sharding, substring, toxicity
-from .common import table
+from .common import small_batches, table
 
 #: The tokenizer's model file; it is read by the driver alone.
 PIECES = os.environ.get("TESSERA_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -71,5 +71,10 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents", "doc_id", "text"), model_bytes()).drop("text")
 
 
+def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(small_batches(spark), sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_neighbours": op1_neighbours, "op2_mix": op2_mix, "op3_quality": op3_quality, "op4_chat": op4_chat, "op5_sharding": op5_sharding, "op6_substring": op6_substring, "op7_neardup": op7_neardup, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_pieces": op10_pieces}
+    every = op1_neighbours, op2_mix, op3_quality, op4_chat, op5_sharding, op6_substring, op7_neardup, op8_toxicity, op9_secrets, op10_pieces
+    return {q.__name__: _bounded(q) for q in every}

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing, neardup, pieces, quality, secrets
-from tessera.llm.common import BROADCAST_KEYS, shared_dir, stored
+from tessera.llm.common import BROADCAST_KEYS, shared_dir, small_batches, stored
 from tessera.llm.queries import model_bytes
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -36,6 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group: the one with the smallest doc_id, of rows that repeat it the one with the greatest text.
 
     Rows without a doc_id are groups of their own, and all stay. A document without words is linked with none and stays."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     gone = stored(neardup.near_duplicates(docs.select("doc_id", "text")).filter("not kept").select("doc_id").distinct())
     again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
@@ -46,6 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, repeated ones included, with secrets replaced by a mark; a null text stays null (n_chars too), an empty one empty."""
+    small_batches(spark)
     return _with_text(secrets.scan(docs.select(*COLUMNS)), "clean_text")
 
 
@@ -57,6 +59,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_pieces and round_trip of each row; a null text has null ids and no pieces, an empty one no ids."""
+    small_batches(spark)
     return pieces.encode(docs.select(*COLUMNS), model_bytes()).select("doc_id", "lang", "source", "ids", "n_pieces", "round_trip")
 
 

@@ -30,7 +30,7 @@ ROUNDS = 1
 #: Longer posting lists are cut into blocks, so that no task holds more than a pair of blocks.
 BLOCK = 512
 #: Comparisons within lists that a task should make, and the most tasks that they are dealt to.
-TASK_PAIRS, MOST_TASKS = 250_000, 100_000
+TASK_PAIRS, MOST_TASKS = 2_000_000, 100_000
 #: Pairs that are confirmed with one copy of a text; a text of more pairs is copied, so that its pairs are spread.
 TEXT_PAIRS = 500
 
@@ -132,24 +132,83 @@ def _alike(n: str, m: str) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
 
 
-def _agree(a: str, b: str) -> Column:
-    """Whether two sets have MATCHES collisions, and parities that allow the similarity; columns have the suffixes a and b."""
-    unequal = lambda s: F.col(f"{s}{a}").bitwiseXOR(F.col(f"{s}{b}"))
-    total = lambda xs: reduce(lambda x, y: x + y, xs)
+def _collide(sketch: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (i, j) of rows those with MATCHES collisions, and with parities that allow the similarity."""
+    odd, most = sketch[:, len(VALUES) :], (n[i] + n[j]) * (100 - PERCENT) / (100 + PERCENT)
+    apart = np.zeros(len(i), np.int64)
+    for part in (range(0, len(ODD), 2), range(1, len(ODD), 2)):  # half of the parities tell most pairs apart
+        for k in part:
+            apart += np.bitwise_count(odd[i, k] ^ odd[j, k])
+        keep = apart <= most
+        i, j, apart, most = i[keep], j[keep], apart[keep], most[keep]
+    unequal = np.zeros(len(i), np.int64)
+    lowest = np.uint64(sum(1 << BITS * k for k in range(LANES)))
+    for k in range(len(VALUES)):
+        x, shift = sketch[i, k] ^ sketch[j, k], BITS // 2
+        while shift:  # each lane's bits are folded into its lowest
+            x, shift = x | x >> np.uint64(shift), shift // 2
+        unequal += np.bitwise_count(x & lowest)
+    keep = unequal <= COORDINATES - MATCHES
+    return i[keep], j[keep]
+
+
+def _longs(column) -> np.ndarray:
+    return column.flatten().to_numpy().view(np.uint64).reshape(len(column), -1)
+
+
+def agreeing(pairs: DataFrame) -> DataFrame:
+    """(a, b) of rows (a, n_a, sketch_a, b, n_b, sketch_b) with enough collisions."""
+    import pyarrow as pa
 
-    def apart(x: Column) -> Column:  # lanes that aren't equal: each one's bits are folded into its lowest
-        k = BITS // 2
-        while k:
-            x, k = x.bitwiseOR(F.shiftrightunsigned(x, k)), k // 2
-        return F.bit_count(x.bitwiseAND(F.lit(sum(1 << BITS * i for i in range(LANES)))))
+    def run(batches):
+        for part in batches:
+            if part.num_rows:
+                sketch = np.concatenate([_longs(part.column(f"sketch_{s}")) for s in "ab"])
+                n, k = np.concatenate([part.column(f"n_{s}").to_numpy() for s in "ab"]), np.arange(part.num_rows)
+                i, _ = _collide(sketch, n, k, k + part.num_rows)
+                yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(i)) for c in "ab"], names=["a", "b"])
 
-    most = (F.col(f"n{a}") + F.col(f"n{b}")) * (100 - PERCENT) / (100 + PERCENT)
-    odd = lambda names: total([F.bit_count(unequal(s)) for s in names]) <= most
-    return odd(ODD[::2]) & odd(ODD) & (total([apart(unequal(s)) for s in VALUES]) <= COORDINATES - MATCHES)  # half of the parities tell most pairs apart
+    return arrow_map(pairs, run, "a long, b long")
 
 
-def _side(p: DataFrame, s: str, but: tuple = ()) -> DataFrame:
-    return p.select(*[F.col(c).alias(c if c in but else f"{c}{s}") for c in p.columns])
+def met(rows: DataFrame) -> DataFrame:
+    """(a, b) for the pairs within each (token, block) of rows (token, block, own, inner, node, component, n, sketch), which are sorted so, that
+    are in different components, in a block of two kinds of different own, and have enough collisions. A group is held in one task, of BLOCK or
+    twice BLOCK rows; pairs are compared a distance at a time, all groups of a batch together."""
+    import pyarrow as pa
+
+    def compared(t):
+        column = lambda c: t.column(c).to_numpy(zero_copy_only=False)
+        token, block, own, inner, node, component, n = map(column, ("token", "block", "own", "inner", "node", "component", "n"))
+        sketch, out = _longs(t.column("sketch")), []
+        for d in range(1, t.num_rows):
+            i = np.flatnonzero((token[d:] == token[:-d]) & (block[d:] == block[:-d]))
+            if not len(i):
+                break
+            j = i + d
+            fits = (component[i] != component[j]) & (inner[i] | (own[i] != own[j])) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * PERCENT)
+            i, j = _collide(sketch, n, i[fits], j[fits])
+            if len(i):
+                out.append((node[i], node[j]))
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (node[:0], node[:0])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches):
+        held = None
+        for part in batches:
+            held = part if held is None else pa.concat_batches([held, part])
+            if not held.num_rows:
+                continue
+            token, block = held.column("token").to_numpy(), held.column("block").to_numpy()
+            others = np.flatnonzero((token != token[-1]) | (block != block[-1]))
+            if len(others):  # the last group may go on in the next batch
+                cut = int(others[-1]) + 1
+                yield compared(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield compared(held)
+
+    return arrow_map(rows, run, "a long, b long")
 
 
 def verified(pairs: DataFrame, who: DataFrame, docs: DataFrame) -> DataFrame:
@@ -170,40 +229,36 @@ def verified(pairs: DataFrame, who: DataFrame, docs: DataFrame) -> DataFrame:
 def links(reps: DataFrame, who: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) between nodes that leave the same components as all links would."""
     p = stored(postings(reps))
-    facts = stored(reps.join(p.select("node"), "node", "left_semi").select("node", "n", *[F.get("sketch", F.lit(i)).alias(s) for i, s in enumerate(VALUES + ODD)]))
+    facts = stored(reps.join(p.select("node"), "node", "left_semi").select("node", "n", "sketch"))
     spark = p.sparkSession
     found, label = [], spark.createDataFrame([], "node long, component long")
     with_label = lambda df: df.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    fact = lambda s: facts.select(*[F.col(c).alias(f"{c}_{s}") for c in ("n", "sketch")], F.col("node").alias(s))
     for k in range(ROUNDS):
         # each list against one member, the most common one and then others: copies fall together at the cost of one pair a row
         rows = with_label(p).withColumn("h", (-F.col("common") if k == 0 else F.xxhash64("node", F.lit(k)))).select("node", "component", "h", F.explode("prefix").alias("token"))
         low = rows.groupBy("token").agg(F.min("h").alias("h"))
         hubs = rows.join(low, ["token", "h"]).groupBy("token").agg(F.min("node").alias("hub"))
-        hubs = hubs.join(_side(with_label(p.select("node")), "_hub"), F.col("hub") == F.col("node_hub")).select("token", "hub", "component_hub")
+        hubs = hubs.join(with_label(p.select("node")).select(F.col("node").alias("hub"), F.col("component").alias("component_hub")), "hub")
         pairs = rows.join(hubs, "token").filter("component <> component_hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        pairs = pairs.join(_side(facts, "_a").withColumnRenamed("node_a", "a"), "a").join(_side(facts, "_b").withColumnRenamed("node_b", "b"), "b")
-        new = verified(checkpoint(pairs.filter(_alike("n_a", "n_b") & _agree("_a", "_b")).select("a", "b")), who, docs)
+        pairs = pairs.join(fact("a"), "a").join(fact("b"), "b").filter(_alike("n_a", "n_b"))
+        new = verified(checkpoint(agreeing(pairs)), who, docs)
         if new.isEmpty():
             break
         found.append(new)
         label = checkpoint(components(reduce(DataFrame.union, found)))
-    # what is left: all pairs of a list that aren't in one component yet, met at the first token that their prefixes share
-    rows = with_label(p).select("node", "component", "prefix", F.explode("prefix").alias("token"))
+    # what is left: all pairs of a list that aren't in one component yet; those that meet in several lists are taken once
+    rows = with_label(p).select("node", "component", F.explode("prefix").alias("token"))
     lists = rows.groupBy("token").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     lists = stored(lists)
     compared = lists.agg(F.sum(F.col("size").cast("double") * F.col("size"))).first()[0] or 0.0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, math.ceil(compared / TASK_PAIRS)))
-    rows = rows.join(lists.drop("size"), "token").join(facts, "node").withColumn("prefix", F.transform("prefix", lambda x: F.hash(x))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.join(lists.drop("size"), "token").join(facts, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a member of block i goes to the pairs of blocks (i, j) for all j
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
-    rows = rows.withColumn("inner", F.col("own") == F.col("other")).withColumn("place", F.hash("token")).drop("blocks", "other")
-    rows = rows.repartition(tasks, "token", "block")
-    key = ("token", "block")
-    meet = _side(rows, "_a", key).join(_side(rows, "_b", key), list(key)).filter(
-        (F.col("node_a") < F.col("node_b")) & (F.col("inner_a") | (F.col("own_a") != F.col("own_b"))) & (F.col("component_a") != F.col("component_b")) & _alike("n_a", "n_b")
-        & _agree("_a", "_b") & (F.get(F.array_intersect("prefix_a", "prefix_b"), F.lit(0)) == F.col("place_a"))
-    )
-    found.append(verified(checkpoint(meet.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()), who, docs))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block", F.least("own", "other").cast("long") * F.col("blocks") + F.greatest("own", "other"))
+    rows = rows.select("token", "block", "own", (F.col("own") == F.col("other")).alias("inner"), "node", "component", "n", "sketch")
+    rows = rows.repartition(tasks, "token", "block").sortWithinPartitions("token", "block")
+    found.append(verified(checkpoint(met(rows).distinct()), who, docs))
     return reduce(DataFrame.union, found)
 
 

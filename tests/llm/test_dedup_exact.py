@@ -107,7 +107,7 @@ def test_index_of_a_batch_that_died(spark, docs, tmp_path, monkeypatch):
 
 
 def test_collisions_are_counted(spark, docs):
-    """_agree() holds for the pairs with MATCHES equal coordinates whose parities allow the similarity, and for them alone."""
+    """_collide() keeps the pairs with MATCHES equal coordinates whose parities allow the similarity, and none else."""
     rng = random.Random(4)
     base, rows = [f"v{i}" for i in range(200)], []
     for i in range(60):
@@ -117,9 +117,10 @@ def test_collisions_are_counted(spark, docs):
         rows.append((i, " ".join(w)))
     sig = neardup.signatures(docs(rows))
     tokens = {r.doc_id: r.signature for r in sig.collect()}
-    facts = sig.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), *[F.get("sketch", F.lit(i)).alias(s) for i, s in enumerate(neardup.VALUES + neardup.ODD)])
-    met = neardup._side(facts, "_a").crossJoin(neardup._side(facts, "_b")).filter(neardup._agree("_a", "_b") & (F.col("node_a") < F.col("node_b")))
-    got = {(r.node_a, r.node_b) for r in met.select("node_a", "node_b").collect()}
+    r = sig.orderBy("doc_id").collect()
+    i, j = np.triu_indices(len(r), 1)
+    sketch, n = np.array([x.sketch for x in r], np.int64).view(np.uint64), np.array([x.n_shingles for x in r])
+    got = set(zip(*(x.tolist() for x in neardup._collide(sketch, n, i, j)), strict=True))
     sets = {i: plain_sets(t) for i, t in rows}
     alike = {(a, b) for a in tokens for b in tokens if a < b and sum(x == y for x, y in zip(tokens[a], tokens[b])) >= neardup.MATCHES}
     assert got <= alike and {p for p in alike if 100 * len(sets[p[0]] & sets[p[1]]) >= 75 * len(sets[p[0]] | sets[p[1]])} <= got

@@ -100,13 +100,28 @@ def semi(df: DataFrame, keys: DataFrame, key: str, salts: int = 16) -> DataFrame
     return df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")).join(spread, [key, "_salt"], "left_semi").drop("_salt")
 
 
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system: workers wait for further tasks beside the JVM, whose memory counts with theirs."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow(run, schema), run being fed slices of BATCH_ROWS rows, as texts can be long; Spark bounds batches by bytes."""
 
     names = df.columns
 
     def sliced(batches):
-        return run(b.slice(at, BATCH_ROWS).rename_columns(names) for b in batches for at in range(0, b.num_rows, BATCH_ROWS))
+        yield from run(b.slice(at, BATCH_ROWS).rename_columns(names) for b in batches for at in range(0, b.num_rows, BATCH_ROWS))
+        give_back()
 
     return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(sliced, schema)  # names with dots wouldn't be found
 
@@ -129,8 +144,8 @@ def small_batches(spark: SparkSession) -> SparkSession:
 def with_arrays(df: DataFrame, make, fields: str, keep: tuple[str, ...] | None = None) -> DataFrame:
     """df (of its columns those in keep, if given) with more columns, made from Arrow batches of its rows; columns of their names are replaced.
 
-    make() runs once a task and returns a function from a batch to a list of Arrow arrays, in the order of fields.
-    Batches are kept small, as texts can be long."""
+    make() runs once a task and returns a function from a batch to a list of Arrow arrays, in the order of fields; if that has an
+    attribute close, it is called when the task ends. Batches are kept small, as texts can be long."""
     import pyarrow as pa
 
     new = T.StructType.fromDDL(fields)
@@ -143,5 +158,6 @@ def with_arrays(df: DataFrame, make, fields: str, keep: tuple[str, ...] | None =
         of = make()
         for part in batches:
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in at), *of(part)], names=names)
+        getattr(of, "close", bool)()
 
     return arrow_map(df, run, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import n_words, stored
+from .common import BROADCAST_KEYS, n_words, stored
 
 #: Weights by the sources' order (fixed values of the contract), repeating.
 WEIGHTS = (5, 2, 1)
@@ -52,7 +52,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = M
 def _mixed(rows: DataFrame, weights: Sequence[float], max_repeat: int, seed: int) -> DataFrame:
     """mix() of (doc_id, source, size); further columns are carried along."""
     more = [c for c in rows.columns if c not in ("doc_id", "source", "size")]
-    rows = stored(rows)
+    if not more:  # narrow: sizes are found once; whole rows are read twice rather than written twice
+        rows = stored(rows)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartitionByRange(n, F.col("source"), F.col("size"), F.col("doc_id")).sortWithinPartitions("source", "size", "doc_id")
     placed = stored(placed.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
@@ -63,7 +64,8 @@ def _mixed(rows: DataFrame, weights: Sequence[float], max_repeat: int, seed: int
     plan = targets(parts, weights, max_repeat).withColumn("_r", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))).withColumn("_u", offset)
     parts = parts.drop("size").join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     parts = parts.select(F.col("source").alias("_source"), F.col("_part").alias("_p"), "_first", "_before", "source_size", "target", "_r", "_u")
-    out = placed.join(parts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_part") == F.col("_p")))
+    parts = stored(parts)  # a row for each task and source in it
+    out = placed.join(F.broadcast(parts) if parts.count() <= BROADCAST_KEYS else parts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_part") == F.col("_p")))
     rank = (F.col("_at") - F.col("_first") + F.col("_before")).cast("double")
     crossed = F.floor(F.col("_u") + F.col("_r") * (rank + 1)) - F.floor(F.col("_u") + F.col("_r") * rank)
     return out.select("doc_id", "source", "size", "source_size", "target", F.least(crossed, F.ceil("_r")).cast("long").alias("copies"), *more)

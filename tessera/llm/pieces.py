@@ -32,7 +32,7 @@ UNKNOWN_PENALTY, USER_WEIGHT = 10.0, -0.1
 INFINITY = float("inf")
 #: What stands before a part's first piece; a character that is no piece stands as -1 less its code point.
 START = -(1 << 30)
-#: Parts of texts whose paths a task keeps; then it starts anew.
+#: Parts of texts whose paths a worker keeps, through all its tasks; then it starts anew.
 KEPT_PARTS = 400_000
 
 
@@ -310,11 +310,6 @@ class Transducer:
                 out.append(plain(SPACE))
         return b"".join(out)
 
-    def forget(self) -> None:
-        """Drops the paths that were kept."""
-        for kept in (self.plain, self.spaced, self.apart):
-            kept.clear()
-
     def decode(self, ids) -> bytes:
         """UTF-8 text of piece ids."""
         out = b"".join(map(self.text.__getitem__, ids))
@@ -352,7 +347,6 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
             missing = pa.array([x is None for x in rows])
             return [pa.ListArray.from_arrays(pa.array(offsets), values, mask=missing), pa.array(n), pa.array(trips, pa.bool_())]
 
-        of.close = t.forget
         return of
 
     return with_arrays(docs, make, "ids array<int>, n_pieces long, round_trip boolean")

@@ -60,7 +60,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_pieces and round_trip of each row; a null text has null ids and no pieces, an empty one no ids."""
     small_batches(spark)
-    return pieces.encode(docs.select(*COLUMNS), model_bytes()).select("doc_id", "lang", "source", "ids", "n_pieces", "round_trip")
+    return pieces.encode(docs.select(*COLUMNS), model_bytes(), remember=False).select("doc_id", "lang", "source", "ids", "n_pieces", "round_trip")
 
 
 STAGES = [
